@@ -36,6 +36,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every query vector."""
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     """Ids of every document, and the text that they decode to, as digests."""
     from .bpe_tables import round_trip_digests
@@ -50,6 +57,24 @@ def op6_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str = f"{TOKEN
     return pack(written(pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path), "pack-pieces"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    from .pii import BASE, find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *[of(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back."""
+    from .warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     from .quality import quality
@@ -57,8 +82,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), with_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate vectors."""
+    from .embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_substring_dedup, op5_bpe, op6_packing, op9_quality)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_substring_dedup, op4_topk, op5_bpe, op6_packing, op7_pii, op8_warc, op9_quality, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
