@@ -2,10 +2,11 @@
 
 Two sets of sizes s and t with Jaccard similarity of at least 3/4 differ in at most (s + t) / 7 features. The feature
 domain is partitioned by hash, as finely for all sets of a size band; the differing features touch at most that many
-parts, so of the signatures (one for each nonempty part: its features together) all but that many agree. Ordered by
-value, the first k + 1 signatures of both sets then share at least one, k = floor((s + floor(4 s / 3)) / 7). A set
+parts, so of the signatures (one for each nonempty part: its features together) all but that many agree. In any
+order that is the same for all sets, the first k + 1 signatures of both sets then share at least one, k = floor((s + floor(4 s / 3)) / 7). A set
 near the lower end of its band also gives signatures under the next smaller band. Sets of up to 64 features use parts
-of one feature, so that no two of their features share a part.
+of one feature, so that no two of their features share a part. The order puts the signatures of rare features first:
+how many documents hold a feature is counted over all documents in a table of fixed size, by hash.
 
 Sets that share a signature are compared exactly on their words. Lists of such sets are never expanded into all pairs:
 every member is first compared with one pivot, then, after components are known, only members of different components
@@ -30,6 +31,8 @@ GROWTH = 8  # ratio of the size bands above
 CHUNK_CHARS = 6_000_000
 LIST_ROWS = 20_000
 SKETCH = 8  # 64-bit words of the parity sketch
+COUNTERS = 2**21  # size of the table of feature counts, whatever the input
+SLICE = 2**16
 _U = np.uint64
 
 _SIG_SCHEMA = "bucket int, doc_id long, n_shingles long, digest binary, parity array<long>, sigs binary, docs binary"
@@ -59,33 +62,64 @@ def band(size: int) -> int:
     return out
 
 
-def signatures(features: np.ndarray) -> np.ndarray:
-    """The signatures that a set puts into the join: the k + 1 smallest of its parts', for its band and maybe the one below."""
+def signatures(features: np.ndarray, commonness: np.ndarray) -> np.ndarray:
+    """The signatures that a set puts into the join: the k + 1 first of its parts', for its band and maybe the one below."""
     s = len(features)
     if not s:
         return np.zeros(0, dtype=np.uint64)
     k = (s + 4 * s // 3) // 7
-    top = band(s)
+    common = commonness[(features >> _U(40)) & _U(COUNTERS - 1)]
     out = []
-    for b in {top, band(-(-3 * s // 4))}:
+    for b in {band(s), band(-(-3 * s // 4))}:
         if b == 0:
-            sig = mix(features)
+            sig, rare = mix(features), common
         else:
             part = features % _U(SMALL * GROWTH**b)
             order = np.argsort(part, kind="stable")
             starts = np.flatnonzero(np.diff(part[order], prepend=part[order][0] + _U(1)))
             sig = mix(np.add.reduceat(mix(features[order]), starts) + part[order][starts] * _U(GROWTH + 1) + _U(b))
-        out.append(np.partition(sig, k)[: k + 1] if k + 1 < len(sig) else sig)
+            rare = np.minimum.reduceat(common[order], starts)
+        if k + 1 < len(sig):
+            sig = sig[np.argpartition((rare.astype(np.uint64) << _U(56)) | (sig >> _U(8)), k)[: k + 1]]
+        out.append(sig)
     return np.unique(np.concatenate(out))
 
 
+def _count(batches):
+    """How many documents of the partition hold a feature of each counter, in slices."""
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for (texts,) in chunks(batches, 1, CHUNK_CHARS):
+        sets = [shingle_set(t) for t in texts]
+        total += np.bincount(((np.concatenate(sets) >> _U(40)) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    rows = [np.minimum(total[i : i + SLICE], 65535).astype("<u2").tobytes() for i in range(0, COUNTERS, SLICE)]
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["slice", "counts"])
+
+
+def _sum_counts(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[i] = total.get(i, 0) + np.frombuffer(c, "<u2").astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(8 * np.log2(1 + t), 255).astype(np.uint8).tobytes() for t in total.values()], pa.binary())], names=["slice", "counts"])
+
+
+def commonness(docs: DataFrame) -> np.ndarray:
+    """For each counter, a logarithm of how many documents hold its features: COUNTERS bytes."""
+    counts = docs.select("text").mapInArrow(_count, "slice int, counts binary").repartition(COUNTERS // SLICE, "slice").mapInArrow(_sum_counts, "slice int, counts binary")
+    out = np.zeros(COUNTERS, dtype=np.uint8)
+    for r in counts.collect():  # COUNTERS bytes in all
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
 def parity(features: np.ndarray) -> list[int]:
     """Parities of the feature counts in 64 * SKETCH bins: two sketches differ in at most as many bits as the sets in features."""
     bits = np.bincount((features >> _U(7)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
 
 
-def _sketches(buckets: int):
+def _sketches(buckets: int, common):
     def run(batches):
         for ids, texts in chunks(batches, 2, CHUNK_CHARS):
             info = [[], [], [], []]
@@ -97,7 +131,7 @@ def _sketches(buckets: int):
                     c.append(v)
                 if len(f) and doc_id is not None and digest not in seen:  # equal sets meet by their digest
                     seen[digest] = 1
-                    sigs.append(signatures(f))
+                    sigs.append(signatures(f, common.value))
                     owner.append(np.full(len(sigs[-1]), doc_id, dtype=np.int64))
             n = len(info[0])
             spread = [(x or 0) % buckets for x in info[0]]
@@ -179,7 +213,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = base.mapInArrow(_sketches(buckets), _SIG_SCHEMA).repartition(buckets, "bucket")
+    common = spark.sparkContext.broadcast(commonness(base))  # of fixed size
+    dealt = base.mapInArrow(_sketches(buckets, common), _SIG_SCHEMA).repartition(buckets, "bucket")
     out = written(dealt.mapInArrow(_lists, _OUT_SCHEMA), "ngram-lists")
     info = out.where("list_id is null").select("doc_id", "n_shingles", "digest", "parity")
 
