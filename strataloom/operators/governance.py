@@ -1,0 +1,66 @@
+"""Policy checks, entity counts and redaction by pattern, all in the JVM."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Patterns of secrets, and of attempts to override instructions (ASCII classes, any case).
+SECRET = {
+    "private_key": r"-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----",
+    "api_key": r"(?:api[_-]?key|apikey)\s*[:=]\s*\S{8,}",
+    "password": r"(?:secret|token|password|passwd|pwd)\s*[:=]\s*\S{8,}",
+    "cloud_key": r"(?:aws_access_key_id|aws_secret_access_key)\s*[:=]\s*\S+",
+    "forge_token": r"ghp_[A-Za-z0-9]{36,}",
+    "web_token": r"eyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{20,}",
+}
+INJECTION = {
+    "ignore": r"ignore\s+(?:all\s+)?previous\s+instructions?",
+    "forget": r"forget\s+(?:all\s+)?(?:your\s+)?(?:previous\s+)?instructions?",
+    "pretend": r"pretend\s+(?:to\s+be|you\s+are)",
+    "system": r"<\s*system\s*>",
+}
+#: Entity patterns.
+ENTITY = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "date": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b",
+    "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+    "cve": r"\bCVE-[0-9]{4}-[0-9]{4,}\b",
+}
+#: What each secrecy tier redacts, in this order, and by what mark.
+REDACT = {
+    "emails": (r"[\w.+-]+@[\w.-]+\.\w{2,}", "[EMAIL]"),
+    "hostnames": (r"(?i)\b[\w-]+\.(?:corp|internal|local|intra|lan|company|enterprise|office|srv|server)\b", "[HOST]"),
+    "ips": (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP]"),
+    "hashes": (r"\bsha256:[0-9a-f]{16,}\b", "[HASH]"),
+}
+TIERS = {"S0": ("emails", "hostnames", "ips", "hashes"), "S2": ("hostnames", "ips", "hashes"), "S3": ()}
+
+
+def policy(docs: DataFrame, most_chars: int = 8000, text: str = "text") -> DataFrame:
+    """(doc_id, action, reasons): rejected for secrets, overriding instructions or length; else accepted."""
+    t = F.coalesce(text, F.lit(""))
+    found = [F.when(F.rlike(t, F.lit(f"(?i){p}")), F.lit(f"{group}:{name}")) for group, many in (("secret", SECRET), ("injection", INJECTION)) for name, p in many.items()]
+    found.append(F.when(F.length(t) > most_chars, F.lit("too_long")))
+    reasons = F.array_compact(F.array(*found))
+    return docs.select("doc_id", reasons.alias("r")).select("doc_id", F.when(F.size("r") > 0, "reject").otherwise("accept").alias("action"), F.array_join("r", ",").alias("reasons"))
+
+
+def entity_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n_...) of each entity pattern."""
+    t = F.coalesce(text, F.lit(""))
+    return docs.select("doc_id", *[F.regexp_count(t, F.lit(p)).cast("long").alias(f"n_{k}") for k, p in ENTITY.items()])
+
+
+def redact(text: Column, tier: str) -> Column:
+    """The text with what its tier hides replaced, rule after rule."""
+    return reduce(lambda c, k: F.regexp_replace(c, REDACT[k][0], REDACT[k][1].replace("$", r"\$")), TIERS[tier], F.coalesce(text, F.lit("")))
+
+
+def redacted(docs: DataFrame, tier: str, text: str = "text") -> DataFrame:
+    """(doc_id, text, changes): redacted texts and how many replacements each rule's mark shows."""
+    out = docs.select("doc_id", redact(F.col(text), tier).alias("text"))
+    marks = [F.regexp_count("text", F.lit(REDACT[k][1].replace("[", r"\[").replace("]", r"\]"))) for k in TIERS[tier]]
+    return out.withColumn("changes", reduce(Column.__add__, marks, F.lit(0)).cast("long"))

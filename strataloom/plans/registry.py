@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import audit, documents, memory, retrieval
+
+MODULES = (retrieval, audit, memory, documents)
+
 
 def queries() -> dict:
-    return {}
+    """name -> (spark, sf_dir) -> DataFrame."""
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """name -> DuckDB SQL over the same tables."""
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
