@@ -27,6 +27,27 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Cuts:
+    """Written cut points of one operator, removed together once what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        """As ``written``, but kept in mind for ``clear``."""
+        self.paths.append(f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        """Remove the files from the shared folder, through Spark's own file systems."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (columns ``a``, ``b``).
 
@@ -37,28 +58,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Null ids are ignored, loops and repeated edges change nothing, no edges give no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a != b").distinct()
-    e = written(e, "cc-edges")
+    cuts = Cuts(e.sparkSession)
+    e = cuts.written(e, "cc-edges")
     steps: list[DataFrame] = []
     for _ in range(max_rounds):
         if e.isEmpty():
             break
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("p"))
-        hook = written(hook, "cc-hook")
+        hook = cuts.written(hook, "cc-hook")
         for _ in range(2):
             up = hook.select(F.col("id").alias("p"), F.col("p").alias("up"))
             hook = hook.join(up, "p").select("id", F.col("up").alias("p"))
-        hook = written(hook, "cc-label")
+        hook = cuts.written(hook, "cc-label")
         steps.append(hook)
         la, lb = hook.select(F.col("id").alias("a"), F.col("p").alias("pa")), hook.select(F.col("id").alias("b"), F.col("p").alias("pb"))
         e = e.join(la, "a").join(lb, "b").where("pa != pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct()
-        e = written(e, "cc-edges")
+        e = cuts.written(e, "cc-edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not steps:
-        return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    out = steps[0].select("id", F.col("p").alias("component"))
+        out = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    else:
+        out = steps[0].select("id", F.col("p").alias("component"))
     for s in steps[1:]:
         nxt = s.select(F.col("id").alias("component"), "p")
         out = out.join(nxt, "component", "left").select("id", F.coalesce("p", "component").alias("component"))
-    return written(out, "cc-out") if len(steps) > 1 else out
+    out = written(out, "cc-out")
+    cuts.clear()
+    return out

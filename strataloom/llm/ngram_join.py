@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import Cuts, components, written
 from .words import chunks, mix, sequence_hashes, word_hashes
 
 SHINGLE = 5
@@ -211,24 +211,25 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     texts. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    cuts = Cuts(spark)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = spark.sparkContext.broadcast(commonness(base))  # of fixed size
     dealt = base.mapInArrow(_sketches(buckets, common), _SIG_SCHEMA).repartition(buckets, "bucket")
-    out = written(dealt.mapInArrow(_lists, _OUT_SCHEMA), "ngram-lists")
+    out = cuts.written(dealt.mapInArrow(_lists, _OUT_SCHEMA), "ngram-lists")
     info = out.where("list_id is null").select("doc_id", "n_shingles", "digest", "parity")
 
     # Equal sets: one class, represented by its smallest document.
     rep = info.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
     member = info.where("digest is not null and doc_id is not null").select("doc_id", "digest").join(rep, "digest").select("doc_id", "rep", "n", "parity")
-    member = written(member, "ngram-class")
+    member = cuts.written(member, "ngram-class")
     copies = member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     lists = out.where("list_id is not null").groupBy("list_id", "part").agg(F.first("members").alias("members"))
     lists = lists.select("list_id", F.explode("members").alias("doc_id")).join(member, "doc_id").select("list_id", "rep", "n", "parity").groupBy("list_id", "rep").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-    lists = written(lists, "ngram-members")
+    lists = cuts.written(lists, "ngram-members")
     texts = base.where("doc_id is not null").join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = written(texts.dropDuplicates(["doc_id", "text"]), "ngram-texts")
+    texts = cuts.written(texts.dropDuplicates(["doc_id", "text"]), "ngram-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -238,23 +239,25 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     # First each member against its list's pivot.
     pivot = lists.groupBy("list_id").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("na"), F.min_by("parity", "rep").alias("pa"), F.count("*").alias("m"))
     star = lists.join(pivot.where("m > 1"), "list_id").where(_may_link("na", "n", "pa", "parity") & (F.col("rep") != F.col("a"))).select("a", F.col("rep").alias("b")).distinct()
-    links = written(verified(star).unionByName(copies), "ngram-links")
+    links = cuts.written(verified(star).unionByName(copies), "ngram-links")
     comp = components(links)
 
     # Then members of one list in different components.
     labelled = lists.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = labelled.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("pivot")).where("c0 != c1").select("list_id", "pivot")
-    left = written(labelled.join(open_, "list_id").withColumn("step", F.floor(F.log("n") / F.lit(np.log(4 / 3) + 1e-9))), "ngram-open")
+    left = cuts.written(labelled.join(open_, "list_id").withColumn("step", F.floor(F.log("n") / F.lit(np.log(4 / 3) + 1e-9))), "ngram-open")
     x = left.select("list_id", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"), F.col("component").alias("ca"), "pivot")
     y = left.select("list_id", "step", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"), F.col("component").alias("cb"))
     apart = (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot")) & _may_link("na", "nb", "pa", "pb")
     on = (x["list_id"] == y["list_id"]) & (x["step"] == y["step"]) & apart
     cross = x.join(y, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(verified(cross), "ngram-more")
+    more = cuts.written(verified(cross), "ngram-more")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     got = info.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return got.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    got = written(got.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "ngram-out")
+    cuts.clear()  # lists, texts and pairs are of the size of the input; only the result stays
+    return got
 
 
 def _may_link(na: str, nb: str, pa_: str, pb: str):
