@@ -53,34 +53,51 @@ def _unpack(ids: bytes, mat: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
 class SortedLists:
     """A block's sorted lists: each candidate's place in the list of every dimension, and the values in order."""
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
         order = np.argsort(-x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(x, order, axis=0)
         self.place = np.empty_like(order)
         np.put_along_axis(self.place, order, np.arange(len(x))[:, None], axis=0)
 
-    def top(self, q: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(id, score) of the best k candidates but ``own``, ties to the smaller id."""
+    def bounds(self, depth: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (candidate, query) after ``depth`` sequential reads of every list.
+
+        Positive weights read a list from its high end, negative ones from its low end; an unread component counts as
+        the list's worst value for the lower bound and as the next value to read for the upper one.
+        """
+        n = len(self.x)
+        up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
+        read = np.concatenate([self.place < depth, self.place >= n - depth], axis=1)
+        twice = np.concatenate([self.x, self.x], axis=1)
+        gained = np.where(read, twice, 0) @ np.concatenate([up, down])
+        unread = (~read).astype(self.x.dtype)
+        worst = np.concatenate([self.sorted[-1][:, None] * up, self.sorted[0][:, None] * down])
+        ahead = np.concatenate([self.sorted[depth][:, None] * up, self.sorted[n - 1 - depth][:, None] * down])
+        return gained + unread @ worst, gained + unread @ ahead
+
+    def top(self, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query, id, score) of the best k candidates but its own of every query, ties to the smaller id."""
         n = len(self.x)
-        used = np.flatnonzero(q)
-        w = q[used]
-        alive = np.flatnonzero(ids != own)
-        worst = np.where(w > 0, self.sorted[-1, used], self.sorted[0, used]) * w
-        depth = max(32, n // 16)
-        while len(alive) > 4 * k and depth < n and len(used):
-            # After `depth` sequential reads of every list (from its high end for positive weights, its low end for others).
-            frontier = np.where(w > 0, self.sorted[depth, used], self.sorted[n - 1 - depth, used]) * w
-            place = self.place[np.ix_(alive, used)]
-            read = np.where(w > 0, place, n - 1 - place) < depth
-            gained = np.where(read, self.x[np.ix_(alive, used)] * w, 0).sum(axis=1)
-            low, high = gained + np.where(read, 0, worst).sum(axis=1), gained + np.where(read, 0, frontier).sum(axis=1)
-            kth = np.partition(low, len(low) - k)[len(low) - k]
-            alive = alive[high >= kth]
-            depth *= 2
-        score = self.x[alive] @ q
-        best = np.lexsort((ids[alive], -score))[:k]
-        return [(int(ids[alive[b]]), int(score[b])) for b in best]
+        alive = self.ids[:, None] != own[None, :]
+        depth, open_ = n // 8, np.arange(len(q))
+        while 0 < depth < n and len(open_) and n > 4 * k:
+            low, high = self.bounds(depth, q[open_])
+            low = np.where(alive[:, open_], low.astype(np.float64), -np.inf)
+            kth = np.partition(low, n - k, axis=0)[n - k]
+            alive[:, open_] &= high >= kth[None, :]
+            open_ = open_[alive[:, open_].sum(axis=0) > 4 * k]  # the others have few left: no outsider can qualify
+            depth *= 4
+        score = self.x @ q.T
+        out = []
+        for j, query in enumerate(own.tolist()):
+            left = np.flatnonzero(alive[:, j])
+            got = score[left, j]
+            if len(left) > k:
+                near = got >= np.partition(got, len(got) - k)[len(got) - k]
+                left, got = left[near], got[near]
+            out += [(query, int(self.ids[left[b]]), int(got[b])) for b in np.lexsort((self.ids[left], -got))[:k]]
+        return out
 
 
 def _search(k: int):
@@ -89,8 +106,9 @@ def _search(k: int):
             for qi, qm, dim, ci, cm in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_mat", "dim", "ids", "mat"))):
                 q_ids, q = _unpack(qi, qm, dim)
                 ids, x = _unpack(ci, cm, dim)
-                lists = SortedLists(x)
-                rows = [(int(a), *hit) for a, v in zip(q_ids, q) for hit in lists.top(v, ids, int(a), k)]
+                if dim * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**50:  # doubles hold every sum exactly
+                    q, x = q.astype(np.float64), x.astype(np.float64)
+                rows = SortedLists(ids, x).top(q, q_ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
