@@ -54,7 +54,7 @@ def _luhn(digits: Column) -> Column:
 def _valid(kind: str, hit: Column) -> Column:
     """What a base match must meet besides its pattern."""
     if kind == "ip":
-        plain = lambda p: F.ltrim(F.lit("0"), p)
+        plain = lambda p: F.ltrim(p, F.lit("0"))
         return F.forall(F.split(hit, "\\."), lambda p: (F.length(plain(p)) < 3) | ((F.length(plain(p)) == 3) & (plain(p) <= "255")))
     n = F.length(_digits(hit))
     if kind == "card":
