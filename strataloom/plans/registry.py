@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, documents, memory, retrieval
+from . import audit, documents, memory, retrieval, structure
 
-MODULES = (retrieval, audit, memory, documents)
+MODULES = (retrieval, audit, memory, documents, structure)
 
 
 def queries() -> dict:
