@@ -30,11 +30,12 @@ class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes, by memoised pieces between blanks.
 
     The tokenizer's pre-tokenizer never joins characters across white space, so text cut at blanks and line feeds
-    encodes piece by piece. Words of letters with plain marks behind them are looked up apart from their marks.
+    encodes piece by piece. Words of letters with plain marks behind them are looked up apart from their marks, unless
+    composition or lower-casing could join or move characters between the two.
     """
 
     WORD = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}'<]+)")
-    #: Characters whose lower-casing or composition could depend on their neighbours; texts with them skip the early lower-casing.
+    #: Characters whose lower-casing or composition could depend on their neighbours, or make more of one; texts with them skip the early lower-casing, units with them the split.
     FAR = regex.compile("[İƀ-\U0010ffff]")
 
     def __init__(self, path: str):
@@ -48,7 +49,7 @@ class WordEncoder:
     def _encode(self, unit: str) -> bytes:
         if not unit:
             return b""
-        if m := self.WORD.fullmatch(unit):
+        if (m := self.WORD.fullmatch(unit)) and not self.FAR.search(unit):
             return self.memo[m[1]] + self.memo[m[2]]
         return np.asarray(self.tok.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
