@@ -2,8 +2,8 @@
 
 Grammar inference: the labelled credentials of a kind make a prefix tree of symbol counts; states whose futures are
 statistically compatible (Hoeffding bound on every symbol's and the end's frequency, recursively) are merged in
-breadth-first order, which turns the tree into a probabilistic automaton. Every candidate token of a text is scored by
-its log likelihood for each format, over that of ordinary tokens, by symbol. The automata are small and fixed in
+breadth-first order, which turns the tree into a probabilistic automaton. Every candidate token of a text, and every part
+of it between separators, is scored by its log likelihood for each format, over that of ordinary tokens, by symbol. The automata are small and fixed in
 size; they are inferred once on the driver from a bounded labelled sample and go to the tasks with the code.
 """
 
@@ -23,6 +23,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SEPARATORS = "+/_.=-"
+SHORTEST = 16  # characters of a candidate
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "format")
 LABELLED = 150  # labelled credentials of each kind
@@ -52,6 +54,10 @@ def symbols(token: str) -> list[str]:
     return [*token[:4], *("d" if c in "0123456789" else "x" if c in "abcdef" else "l" if c.islower() else "u" if c.isupper() else c for c in token[4:])]
 
 
+def _class(c: str) -> str:
+    return "d" if c in "0123456789" else "x" if c in "abcdef" else "l" if c.islower() else "u" if c.isupper() else c
+
+
 class Automaton:
     """Probabilistic automaton from a prefix tree with compatible states merged."""
 
@@ -74,6 +80,7 @@ class Automaton:
                 s = self.next[s][c]
                 self.total[s] += 1
             self.ends[s] += 1
+        self.least = -math.inf  # score that a token must reach, see automata()
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._infer()
 
@@ -123,38 +130,62 @@ class Automaton:
             blue = [(p, c) for p in red for c, t in self.next[p].items() if t not in known]
         self.states = len(red)
 
-    def bits(self, token: str) -> float:
-        """log2 likelihood of a token; unseen symbols and ends cost a smoothed share."""
-        s, out = 0, 0.0
-        for c in symbols(token):
-            n = self.total[s]
-            out += math.log2((self.count[s].get(c, 0) + 0.01) / (n + 1))
-            if c not in self.next[s]:
-                return -math.inf
-            s = self.next[s][c]
-        return out + math.log2((self.ends[s] + 0.01) / (self.total[s] + 1))
+    def step(self, state: int, symbol: str) -> tuple[int, float] | None:
+        """Next state and the symbol's bits. Where labelled credentials vary freely, an unseen character goes the way of one of its class."""
+        to = self.next[state].get(symbol)
+        if to is None and len(self.next[state]) > FREE:
+            to = next((t for c, t in self.next[state].items() if _class(c) == _class(symbol)), None)
+        if to is None:
+            return None
+        return to, math.log2((self.count[state].get(symbol, 0) + 0.01) / (self.total[state] + 1))
+
+    def ends_of(self, token: str, start: int = 0) -> list[tuple[int, float]]:
+        """(end, score in bits a symbol over an ordinary token) of the parts from ``start`` to a separator or the token's end."""
+        state, bits, base, out = 0, 0.0, 0.0, []
+        for i in range(start, len(token)):
+            c = _class(token[i])
+            literal = i < start + 4
+            if (to := self.step(state, token[i] if literal else c)) is None:
+                break
+            state, bits, base = to[0], bits + to[1], base + ORDINARY.get(c, -6.0) - (SIZE.get(c, 0.0) if literal else 0.0)
+            if token[i] not in "./" and (i + 1 == len(token) or token[i + 1] in SEPARATORS):
+                end = math.log2((self.ends[state] + 0.01) / (self.total[state] + 1))
+                out.append((i + 1, (bits + end - base) / (i + 1 - start)))
+        return out
 
 
 @lru_cache(maxsize=1)
 def automata() -> dict[str, Automaton]:
-    """One automaton for each kind of labelled credential."""
-    return {k: Automaton(v) for k, v in labelled_credentials().items()}
+    """One automaton for each kind of labelled credential; it accepts what scores like the least of its own sample, or THRESHOLD."""
+    out = {}
+    for kind, sample in labelled_credentials().items():
+        out[kind] = Automaton(sample)
+        out[kind].least = min(THRESHOLD, *(out[kind].ends_of(token)[-1][1] for token in sample))
+    return out
 
 
 #: Bits of a symbol in ordinary long tokens (addresses, words run together): letters are common, others rare.
 ORDINARY = {"d": -4.0, "x": -2.0, "l": -1.2, "u": -4.5}
+#: Bits of one character within its class, for the first four, which count as they are.
+SIZE = {"d": math.log2(10), "x": math.log2(6), "l": math.log2(20), "u": math.log2(26)}
+FREE = 12  # different symbols after which a state's next one is free
+
+
+def _longest(token: str, start: int, model: Automaton) -> int:
+    """End of the longest part from ``start`` that the model accepts, or 0."""
+    return max((end for end, score in model.ends_of(token, start) if end - start >= SHORTEST and score >= model.least), default=0)
 
 
-def likelihood(token: str, models: dict[str, Automaton]) -> tuple[float, str | None]:
-    """Best score in bits a symbol over an ordinary token, and its kind."""
-    sym = symbols(token)
-    base = sum(ORDINARY.get("d" if c in "0123456789" else "x" if c in "abcdef" else "l" if c.islower() else "u" if c.isupper() else c, -6.0) for c in sym)
-    best, kind = -math.inf, None
-    for k, m in models.items():
-        score = (m.bits(token) - base) / len(sym)
-        if score > best:
-            best, kind = score, k
-    return best, kind
+def credentials(token: str, models: dict[str, Automaton]) -> list[tuple[int, int]]:
+    """Parts of a candidate that some format accepts, from its start or after a separator: leftmost first, longest first."""
+    out, taken = [], 0
+    for start in [0, *(i + 1 for i, c in enumerate(token) if c in SEPARATORS)]:
+        if start >= taken and len(token) - start >= SHORTEST:
+            end = max(_longest(token, start, m) for m in models.values())
+            if end:
+                out.append((start, end))
+                taken = end
+    return out
 
 
 def find_spans(text: str, models: dict[str, Automaton]) -> list[tuple[int, int, str]]:
@@ -172,8 +203,7 @@ def find_spans(text: str, models: dict[str, Automaton]) -> list[tuple[int, int,
             out.append((at + h.start(), at + h.end(), "hex"))
         if base is None:
             base = [s for s in out if s[2] != "hex"]
-        if any(c in "0123456789" for c in token) and any(c.isalpha() for c in token) and likelihood(token, models)[0] >= THRESHOLD:
-            out.append((at, m.end(), "format"))
+        out += [(at + a, at + b, "format") for a, b in credentials(token, models)]
     if not out:
         return out
     solid = [s for s in out if s[2] != "format"]
