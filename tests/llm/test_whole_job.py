@@ -6,8 +6,10 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from strataloom.llm import queries as Q
+from strataloom.llm.embedding_dedup import embedding_dedup
 from strataloom.llm.packing import WordEncoder
 from strataloom.llm.secrets import automata, find_spans, labelled_credentials
+from tests.llm import brute
 
 
 def test_packing_of_decomposed_accents():
@@ -26,3 +28,30 @@ def test_credentials_of_every_kind_in_ordinary_places():
             assert found >= 0.97 * len(tokens), (kind, before, after, found)
     assert find_spans("sk_live_" + "QwErTyUiOpAsDfGhJkLzXcVb", models) == [(0, 32, "format")]
     assert find_spans("https://example.com/some-long_path/of/words.html well-known_identifier_names", models) == []
+
+
+def crowded_vectors():
+    """A third in a cone of mutual cosine about 0.64, and pairs at 0.952 within it and outside."""
+    r = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    axis, wide = np.eye(64)[:1], unit(r.standard_normal((1400, 64)))
+    cone = unit(0.8 * axis + 0.6 * unit(r.standard_normal((700, 64))))
+    first = np.concatenate([wide, cone])[::7]
+    aside = r.standard_normal(first.shape)
+    aside = unit(aside - (aside * first).sum(axis=1, keepdims=True) * first)
+    near = 0.952 * first + np.sqrt(1 - 0.952**2) * aside
+    return [(i, v.tolist()) for i, v in enumerate(np.concatenate([wide, cone, near]))]
+
+
+def test_embedding_links_do_not_depend_on_partitions(spark):
+    rows = crowded_vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").cache()
+    want, got = brute.vector_groups(rows), {}
+    try:
+        for parts in (1, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got[parts] = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embedding_dedup(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert got[1] == got[8] == got[200]
+    assert sum(got[8][i] == want[i] for i in want) >= 0.99 * len(want)
