@@ -1,16 +1,22 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Two sets of sizes s and t with Jaccard similarity of at least 3/4 differ in at most (s + t) / 7 features. The feature
-domain is partitioned by hash, as finely for all sets of a size band; the differing features touch at most that many
-parts, so of the signatures (one for each nonempty part: its features together) all but that many agree. In any
-order that is the same for all sets, the first k + 1 signatures of both sets then share at least one, k = floor((s + floor(4 s / 3)) / 7). A set
-near the lower end of its band also gives signatures under the next smaller band. Sets of up to 64 features use parts
-of one feature, so that no two of their features share a part. The order puts the signatures of rare features first:
-how many documents hold a feature is counted over all documents in a table of fixed size, by hash.
+Two sets of sizes s and t with a Jaccard similarity of at least 3/4 differ in at most (s + t) / 7 features. Sets are
+joined by size band, that of the smaller one; a set near the lower end of its band also takes part in the band below. In a
+band the feature domain is partitioned by hash, first into partitions, then each of these into three parts. If two sets
+differ in a partition in one part at most, two of its parts agree: every subset of two parts is enumerated, and the
+features in it, with band, partition and subset, are a signature.
+
+A set takes partitions in their order until it is certain to share a signature with every set that it may link with: a
+partition in which c of its parts hold a feature that counts stands for min(2, c) differences, so partitions that stand
+for more differences than the set may have are enough. (Of two sets, the one that takes fewer has that certainty within
+partitions that the other takes too.) Features that are in many documents do not count on the first levels, which keeps
+boilerplate out of the signatures; a set that has too few others takes the next level too, on which more count. On the last
+level every feature is a partition of its own, which is always enough. How many documents hold a feature is counted over all
+documents in a table of fixed size, by hash.
 
 Sets that share a signature are compared exactly on their words. Lists of such sets are never expanded into all pairs:
-every member is first compared with one pivot, then, after components are known, only members of different components
-of a list are, and of those only the pairs that a lower bound on their difference leaves.
+every member is first compared with two pivots of its list, then, after components are known, members of different
+components are, and of those only the pairs that a lower bound on their difference leaves.
 """
 
 from __future__ import annotations
@@ -26,17 +32,27 @@ from .common import Cuts, components, written
 from .words import chunks, mix, sequence_hashes, word_hashes
 
 SHINGLE = 5
-SMALL = 64  # sets up to this size: every feature is a part
-GROWTH = 8  # ratio of the size bands above
 CHUNK_CHARS = 6_000_000
-LIST_ROWS = 20_000
-SKETCH = 8  # 64-bit words of the parity sketch
+LIST_ROWS = 20_000  # members of a list in one row
+BLOCK = 2_048  # members of a list that are compared in one task
+ENTRIES = 4_000_000  # signatures in a bucket
+SKETCH = 16  # 64-bit words of the parity sketch
 COUNTERS = 2**21  # size of the table of feature counts, whatever the input
 SLICE = 2**16
+PARTS = 3
+SUBSETS = ((0, 1), (0, 2), (1, 2))  # of PARTS parts, all but one
+#: Levels: a feature counts if it is in at most (this many times the mean of a counter, and twice that); partitions, in times those of the first.
+LEVELS = ((4, 1), (4, 2), (256, 1), (None, 1), (None, 4), (None, None))
+SALTED = 3  # first level on which signatures may be in any share of the documents
+SALTS = 64
 _U = np.uint64
+_TAG = np.dtype([("id", "<i8"), ("tag", "<u4")])
+_SIG = np.dtype([("low", "<u4"), ("high", "u1"), ("doc", "<u2")])
 
-_SIG_SCHEMA = "bucket int, doc_id long, n_shingles long, digest binary, parity array<long>, sigs binary, docs binary"
-_OUT_SCHEMA = "doc_id long, n_shingles long, digest binary, parity array<long>, list_id long, part int, members array<long>"
+_SET_SCHEMA = "doc_id long, n_shingles long, digest binary, slice int, counts binary"
+_SIG_SCHEMA = "bucket long, docs binary, sigs binary"
+_LIST_SCHEMA = "list_id long, weight long, center long, members array<long>"
+_CAND_SCHEMA = "doc_id long, n long, parity array<long>, text string"
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -54,46 +70,99 @@ def exact_shingles(text: str) -> set:
     return {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} if len(w) >= SHINGLE else ({tuple(w)} if w else set())
 
 
-def band(size: int) -> int:
-    """0 for sets of up to SMALL features, then one more for each factor of GROWTH."""
-    out, top = 0, SMALL
-    while size > top:
-        out, top = out + 1, top * GROWTH
-    return out
+def digest(features: np.ndarray) -> bytes:
+    return hashlib.blake2b(features.tobytes(), digest_size=16).digest()
 
 
-def signatures(features: np.ndarray, commonness: np.ndarray) -> np.ndarray:
-    """The signatures that a set puts into the join: the k + 1 first of its parts', for its band and maybe the one below."""
-    s = len(features)
-    if not s:
-        return np.zeros(0, dtype=np.uint64)
-    k = (s + 4 * s // 3) // 7
-    common = commonness[(features >> _U(40)) & _U(COUNTERS - 1)]
-    out = []
-    for b in {band(s), band(-(-3 * s // 4))}:
-        if b == 0:
-            sig, rare = mix(features), common
-        else:
-            part = features % _U(SMALL * GROWTH**b)
-            order = np.argsort(part, kind="stable")
-            starts = np.flatnonzero(np.diff(part[order], prepend=part[order][0] + _U(1)))
-            sig = mix(np.add.reduceat(mix(features[order]), starts) + part[order][starts] * _U(GROWTH + 1) + _U(b))
-            rare = np.minimum.reduceat(common[order], starts)
-        if k + 1 < len(sig):
-            sig = sig[np.argpartition((rare.astype(np.uint64) << _U(56)) | (sig >> _U(8)), k)[: k + 1]]
-        out.append(sig)
-    return np.unique(np.concatenate(out))
-
-
-def _count(batches):
-    """How many documents of the partition hold a feature of each counter, in slices."""
+def instances(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, band, most differences) of every join that a set takes part in: its own band's, and the one below's if a smaller partner may be there."""
+    own = np.frexp(sizes.astype(np.float64))[1] - 1
+    low = np.frexp(np.ceil(0.75 * sizes))[1] - 1
+    two = np.flatnonzero(low < own)
+    most = (sizes + 4 * sizes // 3) // 7
+    below = (sizes[two] + np.minimum(sizes[two], 2 ** (low[two] + 1) - 1)) // 7
+    return np.concatenate([np.arange(len(sizes)), two]), np.concatenate([own, low[two]]), np.concatenate([most, below])
+
+
+def level_signatures(level: int, features: np.ndarray, rare: np.ndarray, owner: np.ndarray, bands: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of one level: (signature, instance) pairs, and whether each instance has enough.
+
+    ``features`` with ``rare`` (counts on this level) and ``owner`` (instance), grouped by owner; bands and most by instance.
+    """
+    n = len(bands)
+    salt = _U(level * 1_000_003 + 17)
+    times = LEVELS[level][1]
+    if times is None:  # every feature is a partition: the first ones by hash that outnumber the differences
+        h = mix(features + salt)
+        order = np.lexsort((h, owner))
+        at = owner[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = order[place <= most[at]]
+        return mix(h[keep] + bands[owner[keep]].astype(np.uint64) * _U(65_537)), owner[keep], np.ones(n, dtype=bool)
+    count = np.maximum(1, (2 ** (bands + 1) * times) // 4)
+    first = np.concatenate([[0], np.cumsum(count)])
+    h = mix(features + salt)
+    slot = (first[owner] * PARTS + (h % (count[owner] * PARTS).astype(np.uint64)).astype(np.int64)).astype(np.int64)
+    size = int(first[-1]) * PARTS
+    h = mix(h)
+    low = np.bincount(slot, weights=(h & _U(0xFFFFFFFF)).astype(np.float64), minlength=size)
+    high = np.bincount(slot, weights=(h >> _U(32)).astype(np.float64), minlength=size)
+    content = mix(low.astype(np.uint64) + (high.astype(np.uint64) << _U(32))).reshape(-1, PARTS)
+    counts = (np.bincount(slot[rare], minlength=size) > 0).reshape(-1, PARTS)
+    instance = np.repeat(np.arange(n), count)
+    stands = np.minimum(counts.sum(axis=1), 2)
+    total = np.cumsum(stands)
+    before = np.concatenate([[0], total])[first[:-1]]  # of the instances before
+    taken = total - stands - before[instance] <= most[instance]  # partitions up to the one with which it is enough
+    enough = np.add.reduceat(stands, first[:-1]) > most if n else np.zeros(0, dtype=bool)
+    number = np.arange(len(instance)) - first[:-1][instance]
+    name = bands[instance].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + number.astype(np.uint64) * _U(31) + salt
+    sigs, owners = [], []
+    for k, (a, b) in enumerate(SUBSETS):
+        pick = np.flatnonzero(taken & (counts[:, a] | counts[:, b]))
+        sigs.append(mix(content[pick, a] * _U(3) + content[pick, b] * _U(5) + mix(name[pick] + _U(k) * _U(0x51ED2701))))
+        owners.append(instance[pick])
+    return np.concatenate(sigs), np.concatenate(owners), enough
+
+
+def signatures(sets: list[np.ndarray], commonness: np.ndarray, limits: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set, level) of all ``sets`` (none empty)."""
+    sizes = np.asarray([len(s) for s in sets], dtype=np.int64)
+    flat, start = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
+    common = commonness[(flat >> _U(40)) & _U(COUNTERS - 1)].astype(np.int64)
+    which, bands, most = instances(sizes)
+    out = [[], [], []]
+    for level in range(len(LEVELS)):
+        if not len(which):
+            break
+        lens = sizes[which]
+        at = np.repeat(start[which] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+        sig, own, enough = level_signatures(level, flat[at], common[at] <= limits[level], np.repeat(np.arange(len(which)), lens), bands, most)
+        for c, v in zip(out, (sig, which[own], np.full(len(sig), level))):
+            c.append(v)
+        which, bands, most = which[~enough], bands[~enough], most[~enough]
+    return tuple(np.concatenate(c) for c in out)
+
+
+def parity(features: np.ndarray) -> list[int]:
+    """Parities of the feature counts in 64 * SKETCH bins: two sketches differ in at most as many bits as the sets in features."""
+    bits = np.bincount((features >> _U(7)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
+
+
+def _measure(batches):
+    """Size and digest of every document's set, and at the end how many documents of the partition hold a feature of each counter, in slices."""
+    names = ["doc_id", "n_shingles", "digest", "slice", "counts"]
     total = np.zeros(COUNTERS, dtype=np.int64)
-    for (texts,) in chunks(batches, 1, CHUNK_CHARS):
+    for ids, texts in chunks(batches, 2, CHUNK_CHARS):
         sets = [shingle_set(t) for t in texts]
         total += np.bincount(((np.concatenate(sets) >> _U(40)) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-    rows = [np.minimum(total[i : i + SLICE], 65535).astype("<u2").tobytes() for i in range(0, COUNTERS, SLICE)]
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["slice", "counts"])
+        n = COUNTERS // SLICE
+        rows = [np.minimum(total[i : i + SLICE], 65535).astype("<u2").tobytes() for i in range(0, COUNTERS, SLICE)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(rows, pa.binary())], names=names)
 
 
 def _sum_counts(batches):
@@ -101,90 +170,134 @@ def _sum_counts(batches):
     for batch in batches:
         for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             total[i] = total.get(i, 0) + np.frombuffer(c, "<u2").astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(8 * np.log2(1 + t), 255).astype(np.uint8).tobytes() for t in total.values()], pa.binary())], names=["slice", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([int(t.sum()) for t in total.values()], pa.int64()), pa.array([_log(t).astype(np.uint8).tobytes() for t in total.values()], pa.binary())], names=["slice", "features", "counts"])
 
 
-def commonness(docs: DataFrame) -> np.ndarray:
-    """For each counter, a logarithm of how many documents hold its features: COUNTERS bytes."""
-    counts = docs.select("text").mapInArrow(_count, "slice int, counts binary").repartition(COUNTERS // SLICE, "slice").mapInArrow(_sum_counts, "slice int, counts binary")
-    out = np.zeros(COUNTERS, dtype=np.uint8)
-    for r in counts.collect():  # COUNTERS bytes in all
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
-    return out
+def _log(count):
+    return np.minimum(8 * np.log2(1 + count), 255)
 
 
-def parity(features: np.ndarray) -> list[int]:
-    """Parities of the feature counts in 64 * SKETCH bins: two sketches differ in at most as many bits as the sets in features."""
-    bits = np.bincount((features >> _U(7)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
-
+def commonness(measured: DataFrame) -> tuple[np.ndarray, int]:
+    """For each counter, a logarithm of how many documents hold its features (COUNTERS bytes); and the number of features of all documents."""
+    counts = measured.where("slice is not null").select("slice", "counts").repartition(COUNTERS // SLICE, "slice").mapInArrow(_sum_counts, "slice int, features long, counts binary")
+    out, features = np.zeros(COUNTERS, dtype=np.uint8), 0
+    for r in counts.collect():  # COUNTERS bytes in all
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
+        features += r["features"]
+    return out, features
+
+
+def limits_of(features: int) -> list[int]:
+    """Of each level, the largest logarithm of a feature that counts."""
+    mean = features / COUNTERS
+    return [256 if times is None else int(_log(times * (mean + 2))) for times, _ in LEVELS]
+
+
+def _deal(buckets: int, common, limits: list[int]):
+    """Signatures of every chunk of documents by bucket; equal sets of a chunk give theirs once, for the smallest document."""
+    names = ["bucket", "docs", "sigs"]
+
+    def rows(ids, tags, sets, salt):
+        sig, own, level = signatures(sets, common.value, limits)
+        hot = level >= SALTED  # such a signature goes to a bucket of its own in each of SALTS shares of the chunks
+        where = (mix(sig + np.where(hot, salt, 0).astype(np.uint64)) % _U(buckets)).astype(np.int64) * 2 + hot
+        order = np.argsort(where, kind="stable")
+        sig, own, where = sig[order], own[order], where[order]
+        edge = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
+        for a, b in zip(edge, edge[1:]):
+            used, local = np.unique(own[a:b], return_inverse=True)
+            docs, s = np.zeros(len(used), dtype=_TAG), np.zeros(b - a, dtype=_SIG)
+            docs["id"], docs["tag"] = ids[used], tags[used]
+            s["low"], s["high"], s["doc"] = sig[a:b] & _U(0xFFFFFFFF), (sig[a:b] >> _U(32)) & _U(0xFF), local
+            yield int(where[a]), docs.tobytes(), s.tobytes()
 
-def _sketches(buckets: int, common):
     def run(batches):
         for ids, texts in chunks(batches, 2, CHUNK_CHARS):
-            info = [[], [], [], []]
-            sigs, owner, seen = [], [], {}
-            for doc_id, text in zip(ids, texts):
-                f = shingle_set(text)
-                digest = hashlib.blake2b(f.tobytes(), digest_size=16).digest()
-                for c, v in zip(info, (doc_id, len(f), digest if len(f) else None, parity(f))):
-                    c.append(v)
-                if len(f) and doc_id is not None and digest not in seen:  # equal sets meet by their digest
-                    seen[digest] = 1
-                    sigs.append(signatures(f, common.value))
-                    owner.append(np.full(len(sigs[-1]), doc_id, dtype=np.int64))
-            n = len(info[0])
-            spread = [(x or 0) % buckets for x in info[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.array(info[0], pa.int64()), pa.array(info[1], pa.int64()), pa.array(info[2], pa.binary()), pa.array(info[3], pa.list_(pa.int64())), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=NAMES)
-            if sigs:
-                sig, own = np.concatenate(sigs), np.concatenate(owner)
-                where = (sig >> _U(20)) % _U(buckets)
-                order = np.lexsort((sig, where))
-                sig, own, where = sig[order], own[order], where[order]
-                edge = np.flatnonzero(np.diff(where)) + 1
-                lo, hi = [0, *edge.tolist()], [*edge.tolist(), len(where)]
-                m = len(lo)
-                yield pa.RecordBatch.from_arrays([pa.array([int(where[a]) for a in lo], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.array([sig[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary()), pa.array([own[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())], names=NAMES)
-
-    NAMES = ["bucket", "doc_id", "n_shingles", "digest", "parity", "sigs", "docs"]
+            own: dict[bytes, tuple[int, np.ndarray]] = {}
+            for i, text in zip(ids, texts):
+                if i is None or not len(f := shingle_set(text)):
+                    continue
+                d = digest(f)
+                if d not in own or i < own[d][0]:
+                    own[d] = i, f
+            one = list(own.items())
+            for at in range(0, len(one), 60_000):
+                some = one[at : at + 60_000]
+                doc = np.asarray([v[0] for _, v in some], dtype=np.int64)
+                tag = np.asarray([int.from_bytes(d[:4], "little") for d, _ in some], dtype=np.uint32)
+                out = list(rows(doc, tag, [v[1] for _, v in some], 1 + int(doc.min()) % SALTS))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=names)
+
     return run
 
 
-def _lists(batches):
-    """Per partition: pass the documents on, and give the lists of documents that share a signature, each list once."""
-    names = ["doc_id", "n_shingles", "digest", "parity", "list_id", "part", "members"]
-    held: dict[int, list] = {}
-    for batch in batches:
-        b = batch.to_pydict()
-        rows = [i for i, s in enumerate(b["sigs"]) if s is None]
-        for i, s in enumerate(b["sigs"]):
-            if s is not None:
-                held.setdefault(b["bucket"][i], []).append((np.frombuffer(s, np.uint64), np.frombuffer(b["docs"][i], np.int64)))
-        if rows:
-            n = len(rows)
-            pick = lambda c: [b[c][i] for i in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(pick("doc_id"), pa.int64()), pa.array(pick("n_shingles"), pa.int64()), pa.array(pick("digest"), pa.binary()), pa.array(pick("parity"), pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
-    for parts in (held.pop(k) for k in list(held)):
-        sig, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(start, len(sig)))
-        seen, out = set(), [[], [], []]
-        for a, n in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-            members = np.unique(doc[a : a + n])
-            if len(members) < 2:
-                continue
+def _bucket_lists(bucket: int, parts: list[tuple[bytes, bytes]]):
+    """Lists of at least two documents that share a signature of this bucket, each list once; salted ones are all kept, they are parts of one."""
+    docs = [np.frombuffer(d, _TAG) for d, _ in parts]
+    sigs = [np.frombuffer(s, _SIG) for _, s in parts]
+    base = np.repeat(np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]]), [len(s) for s in sigs])
+    docs, sigs = np.concatenate(docs), np.concatenate(sigs)
+    who = base + sigs["doc"]
+    sig = sigs["low"].astype(np.uint64) | (sigs["high"].astype(np.uint64) << _U(32))
+    order = np.argsort(sig, kind="stable")
+    twice = sig[order][1:] == sig[order][:-1]
+    keep = np.zeros(len(order), dtype=bool)
+    keep[1:] |= twice
+    keep[:-1] |= twice
+    salted = bool(bucket & 1)
+    order = order if salted else order[keep]
+    sig, who = sig[order], who[order]
+    order = np.lexsort((docs["id"][who], docs["tag"][who], sig))
+    sig, doc, tag = sig[order], docs["id"][who[order]], docs["tag"][who[order]]
+    first = np.ones(len(sig), dtype=bool)
+    first[1:] = (sig[1:] != sig[:-1]) | (tag[1:] != tag[:-1])  # equal sets: the smallest document
+    sig, doc = sig[first], doc[first]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(start, len(sig)))
+    some = np.flatnonzero(size > (0 if salted else 1))
+    place = np.repeat(size, size)  # a document weighs as much as its lists are long
+    ids, at = np.unique(doc, return_inverse=True)
+    weight = np.bincount(at, weights=place, minlength=len(ids))[at]
+    seen = set()
+    for a, n in zip(start[some].tolist(), size[some].tolist()):
+        members = np.sort(doc[a : a + n])
+        if salted:
+            list_id = int(sig[a] << _U(8) | _U(7)) - 2**62
+        else:
             list_id = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
             if list_id in seen:
                 continue
             seen.add(list_id)
-            for part in range(0, len(members), LIST_ROWS):
-                for c, v in zip(out, (list_id, part // LIST_ROWS, members[part : part + LIST_ROWS].tolist())):
-                    c.append(v)
-        if out[0]:
-            n = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], names=names)
+        top = a + int(weight[a : a + n].argmax())
+        for k in range(0, n, LIST_ROWS):
+            yield list_id, int(weight[top]), int(doc[top]), members[k : k + LIST_ROWS]
+
+
+def _lists(batches):
+    names = ["list_id", "weight", "center", "members"]
+
+    def flush(bucket, parts):
+        rows = list(_bucket_lists(bucket, parts))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=names)
+
+    bucket, parts = None, []
+    for batch in batches:
+        for b, d, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if b != bucket:
+                if parts:
+                    yield from flush(bucket, parts)
+                bucket, parts = b, []
+            parts.append((d, s))
+    if parts:
+        yield from flush(bucket, parts)
+
+
+def _sketch(batches):
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        sets = [shingle_set(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), batch.column(1)], names=["doc_id", "n", "parity", "text"])
 
 
 def _verify(batches):
@@ -192,8 +305,8 @@ def _verify(batches):
         b = batch.to_pydict()
         keep_a, keep_b, last, sa = [], [], None, None
         for x, y, tx, ty in zip(b["a"], b["b"], b["ta"], b["tb"]):
-            if x != last:
-                last, sa = x, exact_shingles(tx)
+            if (x, tx) != last:
+                last, sa = (x, tx), exact_shingles(tx)
             sb = exact_shingles(ty)
             both = len(sa & sb)
             if 100 * both >= 75 * (len(sa) + len(sb) - both):
@@ -202,60 +315,102 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
 
 
+def _apart(batches):
+    """Pairs of different components, in one pair of blocks of a list, that may link; each once a partition's stretch."""
+    pairs: list[np.ndarray] = []
+
+    def flush():
+        both = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def compare(rows):
+        side, doc, comp, n = (np.asarray([r[i] for r in rows], dtype=np.int64) for i in range(4))
+        bits = np.asarray([r[4] for r in rows], dtype=np.int64).view(np.uint64)
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        for i in left.tolist():
+            j = right[(comp[right] != comp[i]) & (4 * n[right] >= 3 * n[i]) & (4 * n[i] >= 3 * n[right])]
+            j = j[7 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]]
+            if right is left:
+                j = j[doc[j] > doc[i]]
+            if len(j):
+                pairs.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1))
+
+    group, rows = None, []
+    for batch in batches:
+        for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("list_id", "bi", "bj"))), zip(*(batch.column(c).to_pylist() for c in ("side", "doc_id", "component", "n", "parity")))):
+            if key != group:
+                if len(rows) > 1:
+                    compare(rows)
+                group, rows = key, []
+                if sum(map(len, pairs)) > 500_000:
+                    yield flush()
+                    pairs.clear()
+            rows.append(row)
+    if len(rows) > 1:
+        compare(rows)
+    if pairs:
+        yield flush()
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least 0.75 on 5-word shingles.
 
     Returns (doc_id, n_shingles, component_id) per row of ``docs``; other columns are not looked at. A null or blank
     text has an empty set, no links, and is its own component. A null doc_id links with nothing and has a null
     component. Rows that repeat a doc_id with different texts are one document whose links are those of any of its
-    texts. An empty table gives an empty result.
+    texts. A very long text is one set in one task's memory, about 8 bytes a word. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     cuts = Cuts(spark)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    common = spark.sparkContext.broadcast(commonness(base))  # of fixed size
-    dealt = base.mapInArrow(_sketches(buckets, common), _SIG_SCHEMA).repartition(buckets, "bucket")
-    out = cuts.written(dealt.mapInArrow(_lists, _OUT_SCHEMA), "ngram-lists")
-    info = out.where("list_id is null").select("doc_id", "n_shingles", "digest", "parity")
-
-    # Equal sets: one class, represented by its smallest document.
-    rep = info.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
-    member = info.where("digest is not null and doc_id is not null").select("doc_id", "digest").join(rep, "digest").select("doc_id", "rep", "n", "parity")
-    member = cuts.written(member, "ngram-class")
-    copies = member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    lists = out.where("list_id is not null").groupBy("list_id", "part").agg(F.first("members").alias("members"))
-    lists = lists.select("list_id", F.explode("members").alias("doc_id")).join(member, "doc_id").select("list_id", "rep", "n", "parity").groupBy("list_id", "rep").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-    lists = cuts.written(lists, "ngram-members")
-    texts = base.where("doc_id is not null").join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = cuts.written(texts.dropDuplicates(["doc_id", "text"]), "ngram-texts")
+    measured = cuts.written(base.mapInArrow(_measure, _SET_SCHEMA), "ngram-sets")
+    info = measured.where("slice is null").select("doc_id", "n_shingles", "digest")
+    counted, features = commonness(measured)
+    common = spark.sparkContext.broadcast(counted)  # of fixed size
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-features // ENTRIES), 1)
+    dealt = base.mapInArrow(_deal(buckets, common, limits_of(features)), _SIG_SCHEMA).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    lists = cuts.written(dealt.mapInArrow(_lists, _LIST_SCHEMA), "ngram-lists")
+
+    # Equal sets: each document with the smallest one.
+    rep = info.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
+    copies = info.where("doc_id is not null").join(rep, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
+
+    # Each member against its list's pivots: the smallest one, and the one that shares most.
+    pivots = lists.groupBy("list_id").agg(F.min(F.col("members")[0]).alias("p0"), F.max_by("center", F.struct("weight", -F.col("center"))).alias("p1"), F.sum(F.size("members")).alias("m"))
+    member = lists.select("list_id", F.explode("members").alias("doc_id"))
+    star = member.join(pivots.where("m > 1"), "list_id").select(F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p"), "doc_id").where("p != doc_id")
+    star = cuts.written(star.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "ngram-star")
+    met = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    candidates = cuts.written(base.join(met, "doc_id", "left_semi").where("text is not null").dropDuplicates(["doc_id", "text"]).mapInArrow(_sketch, _CAND_SCHEMA), "ngram-texts")
+    sketches = candidates.select("doc_id", "n", "parity")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
-
-    # First each member against its list's pivot.
-    pivot = lists.groupBy("list_id").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("na"), F.min_by("parity", "rep").alias("pa"), F.count("*").alias("m"))
-    star = lists.join(pivot.where("m > 1"), "list_id").where(_may_link("na", "n", "pa", "parity") & (F.col("rep") != F.col("a"))).select("a", F.col("rep").alias("b")).distinct()
-    links = cuts.written(verified(star).unionByName(copies), "ngram-links")
+        x = candidates.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+        y = candidates.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct()
+
+    x = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    y = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    near = star.join(x, "a").join(y, "b").where(_may_link("na", "nb", "pa", "pb")).select("a", "b").distinct()
+    links = cuts.written(verified(near).unionByName(copies), "ngram-links")
     comp = components(links)
 
-    # Then members of one list in different components.
-    labelled = lists.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = labelled.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("pivot")).where("c0 != c1").select("list_id", "pivot")
-    left = cuts.written(labelled.join(open_, "list_id").withColumn("step", F.floor(F.log("n") / F.lit(np.log(4 / 3) + 1e-9))), "ngram-open")
-    x = left.select("list_id", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"), F.col("component").alias("ca"), "pivot")
-    y = left.select("list_id", "step", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"), F.col("component").alias("cb"))
-    apart = (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot")) & _may_link("na", "nb", "pa", "pb")
-    on = (x["list_id"] == y["list_id"]) & (x["step"] == y["step"]) & apart
-    cross = x.join(y, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Then members of one list in different components, in pairs of blocks where the list is long.
+    labelled = member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_ = labelled.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 != c1 and m > 2")
+    open_ = open_.select("list_id", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    left = cuts.written(labelled.join(open_, "list_id").select("list_id", "nb", "doc_id", "component").distinct(), "ngram-open")
+    left = left.join(sketches, "doc_id").withColumn("x", F.pmod(F.xxhash64("doc_id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    left = left.select("list_id", F.least("x", "o").alias("bi"), F.greatest("x", "o").alias("bj"), (F.col("x") > F.col("o")).cast("int").alias("side"), "doc_id", "component", "n", "parity")
+    left = left.repartition(buckets, "list_id", "bi", "bj").sortWithinPartitions("list_id", "bi", "bj")
+    cross = cuts.written(left.mapInArrow(_apart, "a long, b long").distinct(), "ngram-apart")
     more = cuts.written(verified(cross), "ngram-more")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     got = info.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     got = written(got.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "ngram-out")
+    common.destroy()
     cuts.clear()  # lists, texts and pairs are of the size of the input; only the result stays
     return got
 
