@@ -1,7 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics of a whole text are numbers that do not depend on its language. Trees are grown on binned statistics of a
-bounded labelled sample and flattened into arrays, which tasks walk for a batch of rows at a time.
+bounded labelled sample and flattened into arrays, which tasks walk for a batch of rows at a time. All texts are read once
+more, to be scored; nothing of them is written in between.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
-
 #: Bound on the labelled rows that the model is fitted on (a hash sample of them where there are more).
 MAX_TRAIN = 20_000
 FEATURES = (
@@ -124,11 +123,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Trees(bias, roots, feature, threshold, left, value, depth)
 
 
+def _matrix(texts: list) -> np.ndarray:
+    return np.asarray([statistics(t or "") for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
+
+
 def _measure(batches):
     for batch in batches:
-        rows = [statistics(t or "") for t in batch.column(1).to_pylist()]
-        flat = pa.array(np.asarray(rows, dtype=np.float64).ravel())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(range(0, len(FEATURES) * (len(rows) + 1), len(FEATURES)), pa.int32()), flat)], names=["_row", "stats"])
+        x = _matrix(batch.column(2).to_pylist())
+        stats = pa.ListArray.from_arrays(pa.array(range(0, x.size + 1, len(FEATURES)), pa.int32()), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), stats], names=["doc_id", "y", "stats"])
 
 
 def held_out(doc_id):
@@ -136,14 +139,17 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_quality(measured: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
-    """Trees from the statistics (``_row.doc_id``, ``stats``) of at most about ``max_train`` labelled rows not held out."""
+def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
+    """Trees from the texts (``doc_id``, ``text``) of at most about ``max_train`` labelled rows not held out.
+
+    The sample of labels is bounded, so it may be broadcast to the documents: only sampled texts are measured for it.
+    """
     y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     y = y.where(~held_out("doc_id"))
-    n = y.count()
-    share = min(1.0, max_train / max(n, 1))
-    y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = measured.select(F.col("_row.doc_id").cast("long").alias("doc_id"), "stats").join(y, "doc_id").orderBy("doc_id", "stats").select("stats", "y").toPandas()
+    share = min(1.0, max_train / max(y.count(), 1))
+    y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**62)) < int(share * 2**62))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").select("doc_id", "y", "text")
+    got = rows.mapInArrow(_measure, "doc_id long, y double, stats array<double>").orderBy("doc_id", "stats").toPandas()
     x = np.asarray(got["stats"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy(dtype=np.float64))
 
@@ -153,21 +159,17 @@ def quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, with
 
     All columns of ``docs`` are kept (the text unless ``with_text`` is false; columns of the three names are replaced).
     A null text is an empty one and is scored as such. Labels that repeat a doc_id count by their mean; without usable
-    labels of both classes every score is the prior. A null doc_id is scored, but not learnt from. An empty table gives an
-    empty result.
+    labels of both classes every score is the prior. A null doc_id is scored, but not learnt from. A very long text costs
+    time and memory in proportion, in one task. An empty table gives an empty result.
     """
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted") and (with_text or c != "text")]
     rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").cast("string").alias("_text"))
-    schema = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    measured = written(rows.mapInArrow(_measure, schema), "quality-stats")
-    model = fit_quality(measured, labels, max_train)
+    model = fit_quality(docs, labels, max_train)
 
     def run(batches):
         for batch in batches:
-            stats = batch.column(1)
-            x = stats.flatten().to_numpy(zero_copy_only=False).reshape(len(stats), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["_row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1).to_pylist())))], names=["_row", "score"])
 
-    scored = measured.mapInArrow(run, T.StructType([schema["_row"], T.StructField("score", T.DoubleType())]))
+    scored = rows.mapInArrow(run, T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("score", T.DoubleType())]))
     out = scored.select("_row.*", "score")
     return out.select("*", held_out("doc_id").alias("held_out"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
