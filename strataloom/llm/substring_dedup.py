@@ -1,13 +1,20 @@
 """Substring deduplication over prefix-partitioned suffix trees.
 
-Every word position starts a suffix of its document. A suffix is looked at down to the depth of one window (20 words),
-and its group is a function of that prefix: the least 5-word sequence in it (its anchor), so suffixes that agree on a
-window always meet. Consecutive suffixes mostly have the same anchor and travel as one run; within a chunk of input,
-equal runs are combined before the shuffle, so a passage that a third of all documents hold costs one row a chunk. The
-number of groups follows the volume of text, so that one fits in a task's memory. In a group, the suffixes sorted by
-anchor, the anchor's place and the name of the whole prefix are the subtree's leaves in order; runs of equal names are
-its internal nodes as deep as a window. Each such node keeps its first leaf (smallest document, then start), the
-other leaves are repeats, and neighbouring repeats of a document make up its maximal repeats.
+Every word position starts a suffix of its document, which is looked at down to the depth of one window (20 words).
+Suffixes are partitioned by prefixes of variable length: five words, or, where more than HOT suffixes share those, all
+20. The five words need not be the first: they are the least 5-word sequence (by hash) that starts within the first 16
+words, so neighbouring suffixes mostly have the same one and travel together, as one stretch of words. Suffixes that agree
+on a window always have the same prefix.
+
+First the prefixes are counted over all documents. Those that occur once hold no repeat, and their suffixes go no further.
+The others are sent to memory-sized groups. In a group the subtree is built by prefix doubling: suffixes are ranked by
+their first word, then by 2, 4, 8, 16 and 20 words, from the ranks of their halves; the ranks order them as the leaves of
+the tree are, and leaves with one rank are below one internal node as deep as a window. Words are compared by 64-bit hashes
+of each, windows that share a prefix of full length by 128 bits of all of it. Each deep node keeps its first leaf (smallest
+document, then start); the others are repeats, and neighbouring repeats of a document make up its maximal repeats.
+
+Texts are shuffled once, into parts by a hash of id and text; in a part equal stretches are combined before they are
+sent, so a passage that a third of all documents hold costs one row a part.
 """
 
 from __future__ import annotations
@@ -18,18 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import chunks, mix, sequence_hashes, word_hashes
+from .words import mix, sequence_hashes, word_hashes
 
 WINDOW = 20
-ANCHOR = 5
-CHUNK_CHARS = 6_000_000
-GROUP_CHARS = 24_000_000
+PREFIX = 5
+HOT = 20_000  # suffix stretches of one prefix in a group
+PART_CHARS = 8_000_000  # of text in a part
+GROUP_WORDS = 4_000_000  # in a group
 NO_ID = -(2**63)
 _U = np.uint64
-_RUN_SCHEMA = "bucket int, doc_id long, text_hash long, starts binary, runs binary"
+_COUNT_SCHEMA = "bucket int, part long, prefixes binary, counts binary"
+_KNOWN_SCHEMA = "part long, cold binary, hot binary"
+_SENT_SCHEMA = "bucket int, kind int, doc_id long, text_hash long, blob binary"
 _REPEAT_SCHEMA = "doc_id long, text_hash long, starts binary"
-_RUN = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("place", "u1"), ("count", "u1")])
-_NAME = np.dtype([("low", "<u4"), ("high", "u1")])
+_RUN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("count", "<u2")])
+_NAMED = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<u4"), ("start", "<u4")])
+_STRETCH, _WHOLE, _REPEAT = range(3)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -37,165 +48,264 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _runs_of(h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of a document's suffixes with one anchor: anchor, first start, place of the anchor after it, count; and all names."""
-    names = sequence_hashes(h, WINDOW)
-    n, grams = len(names), sequence_hashes(h, ANCHOR)
-    span = WINDOW - ANCHOR + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, span)
-    at = np.arange(n) + view.argmin(axis=1)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    count = np.diff(np.append(first, n))
-    return grams[at[first]], first, at[first] - first, count, names
-
-
-def _emit_runs(buckets: int):
-    names_out = ["bucket", "doc_id", "text_hash", "starts", "runs"]
-
-    def run(batches):
-        for ids, digests, texts in chunks(batches, 3, CHUNK_CHARS):
-            doc_ids, hashes, parts, names = [], [], [], []
-            order = sorted(range(len(ids)), key=lambda i: (ids[i], digests[i]))
-            known = set()
-            for i in order:
-                words = split_words(texts[i])
-                if len(words) < WINDOW:
-                    continue
-                key = (ids[i], digests[i])
-                if key in known:
-                    continue
-                known.add(key)
-                anchor, first, place, count, name = _runs_of(word_hashes(words))
-                r = np.zeros(len(anchor), dtype=_RUN)
-                r["anchor"], r["doc"], r["start"], r["place"], r["count"] = anchor, len(doc_ids), first, place, count
-                doc_ids.append(key[0])
-                hashes.append(key[1])
-                parts.append(r)
-                names.append(name)
-            if not parts:
-                continue
-            runs, name = np.concatenate(parts), np.concatenate(names)
-            offset = np.concatenate([[0], np.cumsum(runs["count"], dtype=np.int64)])
-            # Equal runs of this chunk: only the first goes on, the others are known to repeat it.
-            whole = mix(np.add.reduceat(mix(name) * (np.arange(len(name), dtype=np.uint64) - np.repeat(offset[:-1].astype(np.uint64), runs["count"]) + _U(3)), offset[:-1]) + runs["anchor"] * _U(7) + runs["place"] + runs["count"].astype(np.uint64) * _U(64))
-            by = np.lexsort((np.arange(len(whole)), whole))  # documents are in order here, so the first is the earliest
-            again = np.zeros(len(whole), dtype=bool)
-            again[by[1:]] = whole[by[1:]] == whole[by[:-1]]
-            yield from _repeats(runs["doc"][again], runs["start"][again].astype(np.int64), runs["count"][again], doc_ids, hashes, buckets)
-            rows = np.flatnonzero(~again)
-            where = (runs["anchor"][rows] >> _U(13)) % _U(buckets)
-            order2 = np.argsort(where, kind="stable")
-            rows, where = rows[order2], where[order2]
-            edge = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
-            ids64, hash64 = np.asarray(doc_ids, dtype="<i8"), np.asarray(hashes, dtype="<i8")
-            out = [[], []]
-            for a, b in zip(edge, edge[1:]):
-                pick = rows[a:b]
-                r = runs[pick]
-                used, local = np.unique(r["doc"], return_inverse=True)
-                r["doc"] = local
-                lens = r["count"].astype(np.int64)
-                idx = np.repeat(offset[pick] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-                packed = np.zeros(len(idx), dtype=_NAME)
-                packed["low"], packed["high"] = name[idx] & _U(0xFFFFFFFF), (name[idx] >> _U(32)) & _U(0xFF)
-                head = np.asarray([len(used), len(r), len(packed)], dtype="<i8")
-                out[0].append(int(where[a]))
-                out[1].append(b"".join([head.tobytes(), ids64[used].tobytes(), hash64[used].tobytes(), r.tobytes(), packed.tobytes()]))
-            n = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(out[1], pa.binary())], names=names_out)
-
-    def _repeats(doc, start, count, doc_ids, hashes, buckets):
-        if not len(doc):
+class Suffixes:
+    """All suffixes of at least a window in some documents, in stretches that share a prefix (and its place)."""
+
+    def __init__(self, texts: list[str | None]):
+        words: list[bytes] = []
+        ends = np.zeros(len(texts) + 1, dtype=np.int64)
+        for i, t in enumerate(texts):
+            words += split_words(t)
+            ends[i + 1] = len(words)
+        self.words = word_hashes(words)
+        lens = np.diff(ends)
+        usable = np.maximum(lens - WINDOW + 1, 0)
+        self.begin = ends[:-1]
+        doc = np.repeat(np.arange(len(texts)), usable)
+        at = np.arange(usable.sum()) - np.repeat(np.cumsum(usable) - usable, usable) + self.begin[doc]
+        if not len(at):
+            self.first = self.count = self.doc = np.zeros(0, dtype=np.int64)
+            self.prefix = np.zeros(0, dtype=np.uint64)
             return
-        count = count.astype(np.int64)
-        flat = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        doc = np.repeat(doc, count)
-        edge = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
-        rows = [(doc_ids[doc[a]], hashes[doc[a]], flat[a:b].astype("<u4").tobytes()) for a, b in zip(edge, edge[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array([abs(r[1]) % buckets for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], names=names_out)
+        grams = sequence_hashes(self.words, PREFIX)
+        least, place, step = grams, np.arange(len(grams)), 1
+        while step < WINDOW - PREFIX + 1:  # the least of 2, 4, 8 and 16, the first of equals
+            right = least[step:] < least[:-step]
+            place = np.where(right, place[step:], place[:-step])
+            least = np.where(right, least[step:], least[:-step])
+            step *= 2
+        anchor = place[at]
+        cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        self.first = at[cut]  # position of the first suffix of each stretch
+        self.count = np.diff(np.append(cut, len(at)))
+        self.doc = doc[cut]
+        self.prefix = grams[anchor[cut]]
+
+
+def _bucket_edges(where: np.ndarray):
+    """Order by bucket, and (bucket, from, to) of each."""
+    order = np.argsort(where, kind="stable")
+    w = where[order]
+    edge = [0, *(np.flatnonzero(np.diff(w)) + 1).tolist(), len(w)] if len(w) else [0]
+    return order, [(int(w[a]), a, b) for a, b in zip(edge, edge[1:])]
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({n: pa.array([r[i] for r in rows], kinds[t]) for i, (n, t) in enumerate(fields)})
+
+
+def _count_prefixes(buckets: int):
+    """Different prefixes of a part, each with its number of stretches, by bucket."""
+
+    def run(key, table):
+        s = Suffixes(table.column("text").to_pylist())
+        prefix, n = np.unique(s.prefix, return_counts=True)
+        order, edges = _bucket_edges(((prefix >> _U(17)) % _U(buckets)).astype(np.int64))
+        prefix, n = prefix[order], np.minimum(n[order], 65_535).astype("<u2")
+        return _table(_COUNT_SCHEMA, [(b, key[0].as_py(), prefix[x:y].tobytes(), n[x:y].tobytes()) for b, x, y in edges])
 
     return run
 
 
-def _subtrees(batches):
-    """The repeats of each group: leaves sorted into the subtree's order, first leaf of each deep node kept."""
-    names_out = ["doc_id", "text_hash", "starts"]
-    held: dict[int, list[bytes]] = {}
+def _stream(batches, key: list[str]):
+    """Rows of each key; rows come sorted by it."""
+    at, rows = None, []
     for batch in batches:
-        b = batch.to_pydict()
-        known = [i for i, r in enumerate(b["runs"]) if r is None]
-        for i, r in enumerate(b["runs"]):
-            if r is not None:
-                held.setdefault(b["bucket"][i], []).append(r)
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array([b[c][i] for i in known], t) for c, t in (("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary()))], names=names_out)
-    for key in list(held):
-        ids, hashes, runs, names, docs = [], [], [], [], 0
-        for blob in held.pop(key):
-            nd, nr, nn = np.frombuffer(blob, "<i8", 3)
-            at = 24
-            ids.append(np.frombuffer(blob, "<i8", nd, at))
-            hashes.append(np.frombuffer(blob, "<i8", nd, at + 8 * nd))
-            r = np.frombuffer(blob, _RUN, nr, at + 16 * nd).copy()
-            r["doc"] += docs
-            runs.append(r)
-            names.append(np.frombuffer(blob, _NAME, nn, at + 16 * nd + _RUN.itemsize * nr))
-            docs += int(nd)
-        ids, hashes, runs, names = (np.concatenate(x) for x in (ids, hashes, runs, names))
-        pair = np.zeros(docs, dtype=[("id", "<i8"), ("hash", "<i8")])
-        pair["id"], pair["hash"] = ids, hashes
-        rank = np.unique(pair, return_inverse=True)[1]
-        # Anchors that occur once hold no repeat.
-        order = np.argsort(runs["anchor"], kind="stable")
-        a = runs["anchor"][order]
-        same = a[1:] == a[:-1]
-        twice = np.zeros(len(a), dtype=bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        pick = order[twice]
-        if not len(pick):
-            continue
-        offset = np.concatenate([[0], np.cumsum(runs["count"], dtype=np.int64)])
-        lens = runs["count"][pick].astype(np.int64)
-        step = np.arange(lens.sum()) - np.repeat(np.concatenate([[0], np.cumsum(lens)[:-1]]), lens)
-        idx = np.repeat(offset[pick], lens) + step
-        name = names["low"][idx].astype(np.uint64) | (names["high"][idx].astype(np.uint64) << _U(32))
-        place = np.repeat(runs["place"][pick].astype(np.int64), lens) - step
-        anchor, doc = np.repeat(runs["anchor"][pick], lens), np.repeat(runs["doc"][pick], lens)
-        start = np.repeat(runs["start"][pick].astype(np.int64), lens) + step
-        low = name | (place.astype(np.uint64) << _U(40))
-        leaf = np.lexsort((start, rank[doc], low, anchor))
-        d, s = rank[doc[leaf]], start[leaf]
-        leaf = leaf[np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (low[leaf[1:]] != low[leaf[:-1]]) | (anchor[leaf[1:]] != anchor[leaf[:-1]])])]  # repeated rows are one document
-        again = np.zeros(len(leaf), dtype=bool)
-        again[1:] = (anchor[leaf[1:]] == anchor[leaf[:-1]]) & (low[leaf[1:]] == low[leaf[:-1]])
-        hit = leaf[again]
-        if not len(hit):
-            continue
-        hit = hit[np.lexsort((start[hit], doc[hit]))]
-        d, s = doc[hit], start[hit].astype("<u4")
-        edge = [0, *(np.flatnonzero(np.diff(d)) + 1).tolist(), len(d)]
-        first = d[edge[:-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(hashes[first]), pa.array([s[x:y].tobytes() for x, y in zip(edge, edge[1:])], pa.binary())], names=names_out)
+        names = batch.schema.names
+        for row in zip(*(batch.column(i).to_pylist() for i in range(len(names)))):
+            k = tuple(row[names.index(c)] for c in key)
+            if k != at:
+                if rows:
+                    yield at, rows
+                at, rows = k, []
+            rows.append(row)
+    if rows:
+        yield at, rows
+
+
+def _known(batches):
+    """Of each part the prefixes that occur more than once over all: those whose group fits, and those that are too many."""
+    for _, rows in _stream(batches, ["bucket"]):
+        prefix = np.concatenate([np.frombuffer(r[2], "<u8") for r in rows])
+        n = np.concatenate([np.frombuffer(r[3], "<u2") for r in rows]).astype(np.int64)
+        _, at = np.unique(prefix, return_inverse=True)
+        total = np.bincount(at, weights=n)[at]
+        out, x = [], 0
+        for r in rows:
+            y = x + len(r[3]) // 2
+            cold, hot = (total[x:y] > 1) & (total[x:y] <= HOT), total[x:y] > HOT
+            if cold.any() or hot.any():
+                out.append((r[1], prefix[x:y][cold].tobytes(), prefix[x:y][hot].tobytes()))
+            x = y
+        if out:
+            yield from _table(_KNOWN_SCHEMA, out).to_batches()
+
+
+def _in(values: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+    known = np.sort(np.frombuffer(b"".join(blobs), "<u8"))
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _by_doc(doc: np.ndarray, start: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> list[tuple]:
+    """(doc_id, text_hash, starts) of each document."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order].astype("<u4")
+    edge = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)] if len(doc) else [0]
+    return [(int(ids[doc[x]]), int(hashes[doc[x]]), start[x:y].tobytes()) for x, y in zip(edge, edge[1:])]
+
+
+def _send(buckets: int):
+    """Stretches of a part with their words, by prefix; suffixes of prefixes that too many share one by one, by their window; equal ones once."""
+
+    def run(key, texts, known):
+        if not known.num_rows or not texts.num_rows:
+            return _table(_SENT_SCHEMA, [])
+        ids, hashes, text = (texts.column(c).to_pylist() for c in ("_id", "_hash", "text"))
+        one = {(i, h): t for i, h, t in zip(ids, hashes, text)}  # repeated rows are one document
+        docs = sorted(one)
+        ids, hashes = np.asarray([d[0] for d in docs], "<i8"), np.asarray([d[1] for d in docs], "<i8")
+        s = Suffixes([one[d] for d in docs])
+        out: list[tuple] = []
+        doc, start = [], []  # of suffixes that repeat one of this part
+
+        def head(used, *arrays):
+            return b"".join([np.asarray([len(used), *map(len, arrays)], "<i8").tobytes(), ids[used].tobytes(), hashes[used].tobytes(), *(a.tobytes() for a in arrays)])
+
+        cold = np.flatnonzero(_in(s.prefix, known.column("cold").to_pylist()))
+        raw, seen, keep = s.words.tobytes(), set(), []
+        for i, a, n in zip(cold.tolist(), s.first[cold].tolist(), s.count[cold].tolist()):
+            words = raw[8 * a : 8 * (a + n + WINDOW - 1)]
+            if words in seen:
+                doc.append(np.full(n, s.doc[i]))
+                start.append(np.arange(a, a + n) - s.begin[s.doc[i]])
+            else:
+                seen.add(words)
+                keep.append(i)
+        keep = np.asarray(keep, dtype=np.int64)
+        order, edges = _bucket_edges(((s.prefix[keep] >> _U(17)) % _U(buckets)).astype(np.int64))
+        keep = keep[order]
+        for b, x, y in edges:
+            some = keep[x:y]
+            used, local = np.unique(s.doc[some], return_inverse=True)
+            runs = np.zeros(len(some), dtype=_RUN)
+            runs["doc"], runs["start"], runs["count"] = local, s.first[some] - s.begin[s.doc[some]], s.count[some]
+            words = np.frombuffer(b"".join(raw[8 * a : 8 * (a + n + WINDOW - 1)] for a, n in zip(s.first[some].tolist(), s.count[some].tolist())), "<u8")
+            out.append((b, _STRETCH, None, None, head(used, runs, words)))
+
+        hot = np.flatnonzero(_in(s.prefix, known.column("hot").to_pylist()))
+        if len(hot):
+            n = s.count[hot]
+            at = np.repeat(s.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own = np.repeat(s.doc[hot], n)
+            a, b = sequence_hashes(s.words, WINDOW)[at], sequence_hashes(mix(s.words + _U(0x2545F4914F6CDD1D)), WINDOW)[at]
+            order = np.lexsort((at, b, a))  # positions are in the documents' order
+            again = np.zeros(len(at), dtype=bool)
+            again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+            doc.append(own[again])
+            start.append((at - s.begin[own])[again])
+            rest = np.flatnonzero(~again)
+            order, edges = _bucket_edges((a[rest] % _U(buckets)).astype(np.int64))
+            rest = rest[order]
+            for k, x, y in edges:
+                some = rest[x:y]
+                used, local = np.unique(own[some], return_inverse=True)
+                names = np.zeros(len(some), dtype=_NAMED)
+                names["a"], names["b"], names["doc"], names["start"] = a[some], b[some], local, (at - s.begin[own])[some]
+                out.append((k, _WHOLE, None, None, head(used, names)))
+        if doc:
+            out += [(abs(h) % buckets, _REPEAT, i, h, x) for i, h, x in _by_doc(np.concatenate(doc), np.concatenate(start), ids, hashes)]
+        return _table(_SENT_SCHEMA, out)
+
+    return run
+
+
+def _ranks(words: np.ndarray) -> np.ndarray:
+    """Rank of every suffix by its first WINDOW words: equal for equal words, in one order (of word hashes) for all."""
+    rank = {1: np.unique(words, return_inverse=True)[1].astype(np.uint64)}
+
+    def join(a: int, b: int) -> np.ndarray:
+        left, right = rank[a], rank[b][a:]
+        left = left[: len(right)]
+        return np.unique(left * (right.max(initial=_U(0)) + _U(1)) + right, return_inverse=True)[1].astype(np.uint64)
+
+    for a, b in ((1, 1), (2, 2), (4, 4), (8, 8), (16, 4)):
+        rank[a + b] = join(a, b)
+    return rank[WINDOW]
+
+
+def _open(rows: list[tuple], *kinds):
+    """Document ids, text hashes and arrays of many blobs, with the arrays' own offsets of documents."""
+    ids, hashes, arrays, base, docs = [], [], [[] for _ in kinds], [], 0
+    for r in rows:
+        sizes = np.frombuffer(r[4], "<i8", 1 + len(kinds))
+        nd, at = int(sizes[0]), 8 * (1 + len(kinds))
+        ids.append(np.frombuffer(r[4], "<i8", nd, at))
+        hashes.append(np.frombuffer(r[4], "<i8", nd, at + 8 * nd))
+        at += 16 * nd
+        for out, kind, n in zip(arrays, kinds, sizes[1:].tolist()):
+            out.append(np.frombuffer(r[4], kind, n, at))
+            at += np.dtype(kind).itemsize * n
+        base.append(np.full(int(sizes[1]), docs))
+        docs += nd
+    return np.concatenate(ids), np.concatenate(hashes), np.concatenate(base), [np.concatenate(a) for a in arrays]
+
+
+def _deep_nodes(ids, hashes, doc, start, names: list[np.ndarray]) -> list[tuple]:
+    """(doc_id, text_hash, starts) of all leaves but the first of each node."""
+    pair = np.zeros(len(ids), dtype=[("id", "<i8"), ("hash", "<i8")])
+    pair["id"], pair["hash"] = ids, hashes
+    which, rank = np.unique(pair, return_inverse=True)
+    own = rank[doc]
+    leaf = np.lexsort((start, own, *names))
+    same = np.ones(len(leaf) - 1, dtype=bool)
+    for n in names:
+        same &= n[leaf[1:]] == n[leaf[:-1]]
+    hit = leaf[1:][same]
+    return _by_doc(own[hit], start[hit], which["id"], which["hash"])
+
+
+def _subtrees(batches):
+    """The repeats of each group."""
+    for (_, kind), rows in _stream(batches, ["bucket", "kind"]):
+        if kind == _REPEAT:
+            out = [(r[2], r[3], r[4]) for r in rows]
+        elif kind == _WHOLE:
+            ids, hashes, base, (names,) = _open(rows, _NAMED)
+            out = _deep_nodes(ids, hashes, base + names["doc"], names["start"].astype(np.int64), [names["b"], names["a"]])
+        else:
+            ids, hashes, base, (runs, words) = _open(rows, _RUN, "<u8")
+            n = runs["count"].astype(np.int64)
+            at = np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1)  # where the words of each stretch begin
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            doc, start = np.repeat(base + runs["doc"], n), np.repeat(runs["start"].astype(np.int64), n) + step
+            out = _deep_nodes(ids, hashes, doc, start, [_ranks(words)[np.repeat(at, n) + step]])
+        if out:
+            yield from _table(_REPEAT_SCHEMA, out).to_batches()
 
 
 def _cut_out(with_text: bool):
-    def run(batches):
-        for batch in batches:
-            cols = [[], [], []]
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-                words = split_words(text)
-                n = len(words)
-                if starts:
-                    edge = np.zeros(n + 1, dtype=np.int64)
-                    edge[np.concatenate([np.frombuffer(x, "<u4") for x in starts])] = 1
-                    seen = np.cumsum(edge)
-                    seen[WINDOW:] -= seen[:-WINDOW].copy()
-                    words = [w for w, o in zip(words, seen.tolist()) if not o]
-                for c, v in zip(cols, (n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass"))):
-                    c.append(v)
-            out = [batch.column("_row"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())]
-            yield pa.RecordBatch.from_arrays(out + [batch.column("text")] * with_text, names=["_row", "n_words", "n_removed", "kept_text", "text"][: 4 + with_text])
+    def run(key, texts, repeats):
+        starts: dict[tuple, list[bytes]] = {}
+        for i, h, x in zip(*(repeats.column(c).to_pylist() for c in ("_id", "_hash", "starts"))):
+            starts.setdefault((i, h), []).append(x)
+        cols = [[], [], []]
+        for i, h, text in zip(*(texts.column(c).to_pylist() for c in ("_id", "_hash", "text"))):
+            words = split_words(text)
+            n = len(words)
+            if (i, h) in starts:
+                edge = np.zeros(n + 1, dtype=np.int64)
+                edge[np.concatenate([np.frombuffer(x, "<u4") for x in starts[i, h]])] = 1
+                seen = np.cumsum(edge)
+                seen[WINDOW:] -= seen[:-WINDOW].copy()
+                words = [w for w, o in zip(words, seen.tolist()) if not o]
+            for c, v in zip(cols, (n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass"))):
+                c.append(v)
+        out = {"_row": texts.column("_row"), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_text": pa.array(cols[2], pa.string())}
+        return pa.table(out | ({"text": texts.column("text")} if with_text else {}))
 
     return run
 
@@ -206,16 +316,23 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     The other columns of ``docs`` are kept (the text itself unless ``with_text`` is false), but for those three names.
     A null text has no words. A null doc_id counts as the smallest. Rows that repeat doc_id and text are one document
     (each row gets its result); rows that repeat a doc_id with another text are different documents, ordered by a hash
-    of the text. An empty table gives an empty result.
+    of the text. A very long text is in one task's memory, about 60 bytes a word. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_text")]
     rows = docs.select(F.struct(*keep).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"), F.col("text").cast("string").alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // GROUP_CHARS), 1)
-    dealt = rows.select("_id", "_hash", "text").mapInArrow(_emit_runs(buckets), _RUN_SCHEMA).repartition(buckets, "bucket")
-    repeats = dealt.mapInArrow(_subtrees, _REPEAT_SCHEMA).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("starts").alias("starts"))
-    joined = rows.join(repeats, ["_id", "_hash"], "left").select("_row", "text", "starts")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (4 * PART_CHARS)), 1)
+    buckets = max(n, -(-chars // (4 * GROUP_WORDS)))
+    part = F.pmod(F.xxhash64("_id", "_hash"), F.lit(max(4 * n, -(-chars // PART_CHARS)))).alias("part")
+    parts = rows.select("*", part).repartition(n, "part")  # the one shuffle of the texts: three steps read it
+    by_part = parts.groupBy("part")
+
+    counted = by_part.applyInArrow(_count_prefixes(buckets), _COUNT_SCHEMA)
+    known = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_known, _KNOWN_SCHEMA)
+    sent = by_part.cogroup(known.groupBy("part")).applyInArrow(_send(buckets), _SENT_SCHEMA)
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_subtrees, _REPEAT_SCHEMA)
+    repeats = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts").select("*", part)
     fields = [T.StructField("_row", rows.schema["_row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("text", T.StringType())]
-    out = joined.mapInArrow(_cut_out(with_text), T.StructType(fields[: 4 + with_text]))
+    out = by_part.cogroup(repeats.groupBy("part")).applyInArrow(_cut_out(with_text), T.StructType(fields[: 4 + with_text]))
     return out.select("_row.*", *["text"] * with_text, "n_words", "n_removed", "kept_text")
