@@ -33,8 +33,30 @@ def test_bounds_hold_at_every_depth():
     x, q = g.integers(-50, 50, (64, 5)).astype(float), g.integers(-50, 50, (9, 5)).astype(float)
     lists = SortedLists(np.arange(64), x)
     for depth in (1, 8, 40, 63):
-        low, high = lists.bounds(depth, q)
-        assert (low <= x @ q.T).all() and (x @ q.T <= high).all()
+        for own in q:
+            seen, low, high = lists.read(own, depth)
+            assert (low <= x @ own).all() and (x @ own <= high).all() and len(set(high[~seen].tolist())) <= 1
+
+
+def test_lists_are_read_in_part_and_few_scores_resolved():
+    """Skewed components, as of topics: each vector is large in few of them."""
+    g = np.random.default_rng(4)
+    x = np.floor(256 * g.pareto(1.5, (4096, 16)) * (g.random((4096, 16)) < 0.2))
+    q, own = x[:40], np.arange(40)
+    lists = SortedLists(np.arange(4096), x)
+    got = lists.top(q, own, 5)
+    score = q @ x.T
+    for j in range(40):
+        order = [i for i in np.lexsort((np.arange(4096), -score[j])) if i != j][:5]
+        assert [(i, s) for o, i, s in got if o == j] == [(i, int(score[j, i])) for i in order]
+    assert lists.reads < 0.5 * 40 * 4096 * 16 and lists.resolved < 0.1 * 40 * 4096
+
+
+def test_scores_of_earlier_blocks_rule_out_whole_ones():
+    g = np.random.default_rng(6)
+    x = g.integers(0, 100, (2048, 8)).astype(float)
+    lists = SortedLists(np.arange(2048), x)
+    assert lists.top(x[:3], np.arange(3) + 5000, 5, [10.0**9] * 3) == [] and lists.resolved == 0
 
 
 def test_integers_beyond_doubles():
