@@ -55,13 +55,15 @@ _LIST_SCHEMA = "list_id long, weight long, center long, members array<long>"
 _CAND_SCHEMA = "doc_id long, n long, parity array<long>, text string"
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted different hashes of a text's shingles: ASCII lower case, words between ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = word_hashes(words)
-    return np.unique(sequence_hashes(h, min(SHINGLE, len(h))))
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted different hashes of each text's shingles: ASCII lower case, words between ASCII white space."""
+    h, counts = word_hashes(texts, lower=True)
+    runs, out, at = sequence_hashes(h, SHINGLE), [], 0
+    for n in counts.tolist():
+        f = np.sort(runs[at : at + n - SHINGLE + 1]) if n >= SHINGLE else sequence_hashes(h[at : at + n], n) if n else h[:0]
+        out.append(f[np.concatenate([[True], f[1:] != f[:-1]])] if len(f) > 1 else f)
+        at += n
+    return out
 
 
 def exact_shingles(text: str) -> set:
@@ -155,7 +157,7 @@ def _measure(batches):
     names = ["doc_id", "n_shingles", "digest", "slice", "counts"]
     total = np.zeros(COUNTERS, dtype=np.int64)
     for ids, texts in chunks(batches, 2, CHUNK_CHARS):
-        sets = [shingle_set(t) for t in texts]
+        sets = shingle_sets(texts)
         total += np.bincount(((np.concatenate(sets) >> _U(40)) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         n = len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -214,8 +216,8 @@ def _deal(buckets: int, common, limits: list[int]):
     def run(batches):
         for ids, texts in chunks(batches, 2, CHUNK_CHARS):
             own: dict[bytes, tuple[int, np.ndarray]] = {}
-            for i, text in zip(ids, texts):
-                if i is None or not len(f := shingle_set(text)):
+            for i, f in zip(ids, shingle_sets(texts)):
+                if i is None or not len(f):
                     continue
                 d = digest(f)
                 if d not in own or i < own[d][0]:
@@ -296,7 +298,7 @@ def _lists(batches):
 def _sketch(batches):
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        sets = [shingle_set(t) for t in texts]
+        sets = shingle_sets(texts)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), batch.column(1)], names=["doc_id", "n", "parity", "text"])
 
 

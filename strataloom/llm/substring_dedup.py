@@ -52,13 +52,8 @@ class Suffixes:
     """All suffixes of at least a window in some documents, in stretches that share a prefix (and its place)."""
 
     def __init__(self, texts: list[str | None]):
-        words: list[bytes] = []
-        ends = np.zeros(len(texts) + 1, dtype=np.int64)
-        for i, t in enumerate(texts):
-            words += split_words(t)
-            ends[i + 1] = len(words)
-        self.words = word_hashes(words)
-        lens = np.diff(ends)
+        self.words, lens = word_hashes(texts)
+        ends = np.concatenate([[0], np.cumsum(lens)])
         usable = np.maximum(lens - WINDOW + 1, 0)
         self.begin = ends[:-1]
         doc = np.repeat(np.arange(len(texts)), usable)

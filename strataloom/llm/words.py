@@ -5,12 +5,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 
-from .word_cache import Memo
-
-_MEMO = Memo(xxhash.xxh3_64_intdigest, 400_000)
 _U = np.uint64
+BLOCK_BYTES = 1_000_000
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BYTE = np.random.default_rng(20_11).integers(1, 2**64, 256, dtype=np.uint64)  # what each byte counts as
+_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+
+
+class _Powers:
+    """Powers of _P and of its inverse, as many as have been needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            for name, base in (("up", _P), ("down", pow(_P, -1, 2**64))):
+                steps = np.full(n, base, dtype=np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,11 +43,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """Stable 64-bit hash of each word."""
-    out = np.fromiter(map(_MEMO.__getitem__, words), dtype=np.uint64, count=len(words))
-    _MEMO.trim()
-    return out
+def _hash_block(raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    text = b"\n".join(raw)
+    text = np.frombuffer(text.lower() if lower else text, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[text].view(np.int8), prepend=1, append=1))
+    start, end = edge[0::2], edge[1::2]
+    up, down = _POWERS(len(text) + 1)
+    total = np.zeros(len(text) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[text] * up[: len(text)], out=total[1:])
+    first = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return mix((total[end] - total[start]) * down[start]), np.diff(np.searchsorted(start, first))
+
+
+def _pieces(raw: bytes) -> list[bytes]:
+    """A long text in pieces of about a block, cut at white space."""
+    out, at = [], 0
+    while len(raw) - at > 2 * BLOCK_BYTES:
+        end = at + BLOCK_BYTES
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        out.append(raw[at:end])
+        at = end
+    return [*out, raw[at:]]
+
+
+def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Stable 64-bit hash of every word (bytes between ASCII white space) of all texts in turn, and the number of words of each.
+
+    A word's hash is a polynomial in what its bytes count as, modulo 2^64, from sums over blocks of text; with ``lower``
+    A to Z count as a to z.
+    """
+    hashes, counts, first, block, size = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [], [], 0
+    done = 0
+    for t in texts:
+        first.append(done)
+        for piece in _pieces((t or "").encode("utf-8", "surrogatepass")):
+            block.append(piece)
+            done += 1
+            size += len(piece)
+            if size >= BLOCK_BYTES:
+                for out, v in zip((hashes, counts), _hash_block(block, lower)):
+                    out.append(v)
+                block, size = [], 0
+    if block:
+        for out, v in zip((hashes, counts), _hash_block(block, lower)):
+            out.append(v)
+    return np.concatenate(hashes), np.add.reduceat(np.concatenate(counts), first) if first else np.zeros(0, dtype=np.int64)
 
 
 def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -68,7 +68,7 @@ def test_ranks_are_the_order_of_the_words():
     windows = [list(base), list(base)]
     for i in range(20):
         windows.append([*base[:i], "changed", *base[i + 1 :]])
-    h = word_hashes([w.encode() for win in windows for w in win])
+    h, _ = word_hashes([" ".join(w) for w in windows])
     rank = S._ranks(h)[::20]
     assert rank[0] == rank[1] and len(set(rank.tolist())) == 21
     order = sorted(range(len(windows)), key=lambda i: h[20 * i : 20 * i + 20].tolist())
@@ -84,3 +84,18 @@ def test_equal_prefix_hashes_of_different_words_do_not_join_windows():
     blob = b"".join([np.asarray([2, 2, 40], "<i8").tobytes(), ids.tobytes(), hashes.tobytes(), runs.tobytes(), words.tobytes()])
     rows = S._table(S._SENT_SCHEMA, [(0, S._STRETCH, None, None, blob)])
     assert list(S._subtrees(rows.to_batches())) == []
+
+
+def test_word_hashes_tell_words_apart():
+    r = random.Random(8)
+    words = [a + b for a in "abcdefghij" for b in ("", *"abcdefghij0123456789\u00e9\u4e16")] + ["".join(r.choice("ab") for _ in range(n)) for n in range(1, 400)] + ["0" * n for n in range(1, 300)]
+    h, n = word_hashes([" ".join(words), None, "", " \n\t", "A b\x1cc \x85d"])
+    assert n.tolist() == [len(words), 0, 0, 0, 3]
+    of = {}
+    for w, x in zip(words, h.tolist()):
+        assert of.setdefault(w, x) == x
+    assert len(set(of.values())) == len(of)
+    assert word_hashes(["Ab \u00c9A"], lower=True)[0].tolist() == word_hashes(["ab \u00c9a"])[0].tolist()
+    long = " ".join(f"w{i % 999}" for i in range(700_000)) + " " + "z" * 2_500_000 + " end"
+    h, n = word_hashes(["a", long, "b end"])
+    assert n.tolist() == [1, 700_002, 2] and h[1] == h[1 + 999 * 600] and h[-1] == h[-3] and len(set(h.tolist())) == 999 + 4
