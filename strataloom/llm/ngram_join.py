@@ -15,8 +15,8 @@ level every feature is a partition of its own, which is always enough. How many
 documents in a table of fixed size, by hash.
 
 Sets that share a signature are compared exactly on their words. Lists of such sets are never expanded into all pairs:
-every member is first compared with two pivots of its list, then, after components are known, members of different
-components are, and of those only the pairs that a lower bound on their difference leaves.
+every member is first compared with the smallest one of its list, then, after components are known, members of different
+components are; of all these pairs only those are verified that a lower bound on their difference leaves.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ CHUNK_CHARS = 6_000_000
 LIST_ROWS = 20_000  # members of a list in one row
 BLOCK = 2_048  # members of a list that are compared in one task
 ENTRIES = 4_000_000  # signatures in a bucket
-SKETCH = 16  # 64-bit words of the parity sketch
+BINS = 1024  # of a sketch
+LARGE = 512  # features above which a sketch holds counts, not only their parities
+PAIRS = 500_000  # held at a time
 COUNTERS = 2**21  # size of the table of feature counts, whatever the input
 SLICE = 2**16
 PARTS = 3
@@ -49,10 +51,9 @@ _U = np.uint64
 _TAG = np.dtype([("id", "<i8"), ("tag", "<u4")])
 _SIG = np.dtype([("low", "<u4"), ("high", "u1"), ("doc", "<u2")])
 
-_SET_SCHEMA = "doc_id long, n_shingles long, digest binary, slice int, counts binary"
+_SET_SCHEMA = "doc_id long, n_shingles long, digest binary, sketch binary, slice int, counts binary"
 _SIG_SCHEMA = "bucket long, docs binary, sigs binary"
-_LIST_SCHEMA = "list_id long, weight long, center long, members array<long>"
-_CAND_SCHEMA = "doc_id long, n long, parity array<long>, text string"
+_LIST_SCHEMA = "list_id long, members array<long>"
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -146,25 +147,48 @@ def signatures(sets: list[np.ndarray], commonness: np.ndarray, limits: list[int]
     return tuple(np.concatenate(c) for c in out)
 
 
-def parity(features: np.ndarray) -> list[int]:
-    """Parities of the feature counts in 64 * SKETCH bins: two sketches differ in at most as many bits as the sets in features."""
-    bits = np.bincount((features >> _U(7)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
+def sketch(features: np.ndarray) -> bytes:
+    """Parities of the feature counts in BINS bins; for large sets, of which these say nothing, also the counts (up to 255).
+
+    Two sets differ in at least as many features as their parities do in bits, and as their counts do in sum.
+    """
+    counts = np.bincount((features >> _U(7)).astype(np.int64) & (BINS - 1), minlength=BINS)
+    bits = np.packbits((counts & 1).astype(np.uint8)).tobytes()
+    return bits + np.minimum(counts, 255).astype(np.uint8).tobytes() if len(features) > LARGE else bits
+
+
+def may_link(n: np.ndarray, sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of sets may link: sizes within 4/3, and no more than a 7th of the features certain to differ."""
+    ok = np.flatnonzero((4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i]))
+    bits = np.frombuffer(b"".join(x[: BINS // 8] for x in sketches), np.uint64).reshape(len(sketches), -1)
+    ok = np.concatenate([k[7 * np.bitwise_count(bits[i[k]] ^ bits[j[k]]).sum(axis=1, dtype=np.int64) <= n[i[k]] + n[j[k]]] for k in _slices(ok)])
+    large = [x for x in range(len(sketches)) if len(sketches[x]) > BINS // 8]
+    place = np.full(len(sketches), -1)
+    place[large] = np.arange(len(large))
+    counts = np.frombuffer(b"".join(sketches[x][BINS // 8 :] for x in large), np.uint8).reshape(-1, BINS).astype(np.int16)
+    both = (place[i[ok]] >= 0) & (place[j[ok]] >= 0)
+    near = [k[7 * np.abs(counts[place[i[k]]] - counts[place[j[k]]]).sum(axis=1, dtype=np.int64) <= n[i[k]] + n[j[k]]] for k in _slices(ok[both])]
+    return np.sort(np.concatenate([ok[~both], *near]))
+
+
+def _slices(x: np.ndarray, size: int = 8192):
+    return [x[k : k + size] for k in range(0, max(len(x), 1), size)]
 
 
 def _measure(batches):
-    """Size and digest of every document's set, and at the end how many documents of the partition hold a feature of each counter, in slices."""
-    names = ["doc_id", "n_shingles", "digest", "slice", "counts"]
+    """Size, digest and sketch of every document's set, and at the end how many documents of the partition hold a feature of each counter, in slices."""
+    names = ["doc_id", "n_shingles", "digest", "sketch", "slice", "counts"]
     total = np.zeros(COUNTERS, dtype=np.int64)
     for ids, texts in chunks(batches, 2, CHUNK_CHARS):
         sets = shingle_sets(texts)
         total += np.bincount(((np.concatenate(sets) >> _U(40)) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        own = [[digest(s) if len(s) else None for s in sets], [sketch(s) if len(s) else None for s in sets]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in own), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if total.any():
         n = COUNTERS // SLICE
         rows = [np.minimum(total[i : i + SLICE], 65535).astype("<u2").tobytes() for i in range(0, COUNTERS, SLICE)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(rows, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(rows, pa.binary())], names=names)
 
 
 def _sum_counts(batches):
@@ -257,9 +281,6 @@ def _bucket_lists(bucket: int, parts: list[tuple[bytes, bytes]]):
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.append(start, len(sig)))
     some = np.flatnonzero(size > (0 if salted else 1))
-    place = np.repeat(size, size)  # a document weighs as much as its lists are long
-    ids, at = np.unique(doc, return_inverse=True)
-    weight = np.bincount(at, weights=place, minlength=len(ids))[at]
     seen = set()
     for a, n in zip(start[some].tolist(), size[some].tolist()):
         members = np.sort(doc[a : a + n])
@@ -270,18 +291,17 @@ def _bucket_lists(bucket: int, parts: list[tuple[bytes, bytes]]):
             if list_id in seen:
                 continue
             seen.add(list_id)
-        top = a + int(weight[a : a + n].argmax())
         for k in range(0, n, LIST_ROWS):
-            yield list_id, int(weight[top]), int(doc[top]), members[k : k + LIST_ROWS]
+            yield list_id, members[k : k + LIST_ROWS]
 
 
 def _lists(batches):
-    names = ["list_id", "weight", "center", "members"]
+    names = ["list_id", "members"]
 
     def flush(bucket, parts):
         rows = list(_bucket_lists(bucket, parts))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=names)
 
     bucket, parts = None, []
     for batch in batches:
@@ -295,13 +315,6 @@ def _lists(batches):
         yield from flush(bucket, parts)
 
 
-def _sketch(batches):
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        sets = shingle_sets(texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), batch.column(1)], names=["doc_id", "n", "parity", "text"])
-
-
 def _verify(batches):
     for batch in batches:
         b = batch.to_pydict()
@@ -317,42 +330,53 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
 
 
+def _closer(batches):
+    """Pairs (a, na, sa, b, nb, sb) that may link."""
+    for batch in batches:
+        n = batch.num_rows
+        sizes = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+        keep = pa.array(may_link(sizes, batch.column("sa").to_pylist() + batch.column("sb").to_pylist(), np.arange(n), np.arange(n, 2 * n)))
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
+
+
 def _apart(batches):
-    """Pairs of different components, in one pair of blocks of a list, that may link; each once a partition's stretch."""
-    pairs: list[np.ndarray] = []
-
-    def flush():
-        both = np.unique(np.concatenate(pairs), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    def compare(rows):
-        side, doc, comp, n = (np.asarray([r[i] for r in rows], dtype=np.int64) for i in range(4))
-        bits = np.asarray([r[4] for r in rows], dtype=np.int64).view(np.uint64)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        for i in left.tolist():
-            j = right[(comp[right] != comp[i]) & (4 * n[right] >= 3 * n[i]) & (4 * n[i] >= 3 * n[right])]
-            j = j[7 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]]
-            if right is left:
-                j = j[doc[j] > doc[i]]
-            if len(j):
-                pairs.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1))
-
-    group, rows = None, []
+    """Pairs of different components, in one pair of blocks of a list, that may link; rows come sorted by list, pair of blocks and side."""
+
+    def compare(rows: pa.Table):
+        group = np.cumsum(np.concatenate([[0], np.any([np.diff(rows.column(c).to_numpy()) != 0 for c in ("list_id", "bi", "bj")], axis=0)]))
+        side, doc, comp, n, bi, bj = (rows.column(c).to_numpy() for c in ("side", "doc_id", "component", "n", "bi", "bj"))
+        pairs, left, step = [np.zeros((0, 2), dtype=np.int64)], np.arange(len(group)), 1
+        while len(left := left[left + step < len(group)]) and len(left := left[group[left] == group[left + step]]):
+            right = left + step
+            ok = (comp[left] != comp[right]) & ((bi[left] == bj[left]) | (side[left] != side[right])) & (4 * n[left] >= 3 * n[right]) & (4 * n[right] >= 3 * n[left])
+            pairs.append(np.stack([left[ok], right[ok]], axis=1))
+            step += 1
+            if sum(map(len, pairs)) > PAIRS:
+                pairs = [once(np.concatenate(pairs), doc)]
+        both = once(np.concatenate(pairs), doc)
+        keep = both[may_link(n, rows.column("sketch").to_pylist(), both[:, 0], both[:, 1])] if len(both) else both
+        a, b = doc[keep[:, 0]], doc[keep[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def once(pairs, doc):
+        """Each pair of documents once, whatever the number of their lists."""
+        ids = np.sort(doc[pairs], axis=1)
+        return pairs[np.unique(ids, axis=0, return_index=True)[1]]
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("list_id", "bi", "bj"))), zip(*(batch.column(c).to_pylist() for c in ("side", "doc_id", "component", "n", "parity")))):
-            if key != group:
-                if len(rows) > 1:
-                    compare(rows)
-                group, rows = key, []
-                if sum(map(len, pairs)) > 500_000:
-                    yield flush()
-                    pairs.clear()
-            rows.append(row)
-    if len(rows) > 1:
-        compare(rows)
-    if pairs:
-        yield flush()
+        held.append(batch)
+        if sum(b.num_rows for b in held) < 8 * BLOCK:
+            continue
+        rows = pa.Table.from_batches(held)
+        keys = [rows.column(c).to_numpy() for c in ("list_id", "bi", "bj")]
+        cut = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))  # the last group may go on
+        end = int(cut[-1]) + 1 if len(cut) else 0
+        if end:
+            yield compare(rows.slice(0, end))
+        held = rows.slice(end).to_batches()
+    if held:
+        yield compare(pa.Table.from_batches(held))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -368,6 +392,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     measured = cuts.written(base.mapInArrow(_measure, _SET_SCHEMA), "ngram-sets")
     info = measured.where("slice is null").select("doc_id", "n_shingles", "digest")
+    sketches = measured.where("digest is not null and doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "sketch")
     counted, features = commonness(measured)
     common = spark.sparkContext.broadcast(counted)  # of fixed size
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-features // ENTRIES), 1)
@@ -378,24 +403,25 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     rep = info.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
     copies = info.where("doc_id is not null").join(rep, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
 
-    # Each member against its list's pivots: the smallest one, and the one that shares most.
-    pivots = lists.groupBy("list_id").agg(F.min(F.col("members")[0]).alias("p0"), F.max_by("center", F.struct("weight", -F.col("center"))).alias("p1"), F.sum(F.size("members")).alias("m"))
+    # Each member against its list's pivot, the smallest one.
+    pivots = lists.groupBy("list_id").agg(F.min(F.col("members")[0]).alias("a"), F.sum(F.size("members")).alias("m"))
     member = lists.select("list_id", F.explode("members").alias("doc_id"))
-    star = member.join(pivots.where("m > 1"), "list_id").select(F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p"), "doc_id").where("p != doc_id")
-    star = cuts.written(star.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "ngram-star")
-    met = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    candidates = cuts.written(base.join(met, "doc_id", "left_semi").where("text is not null").dropDuplicates(["doc_id", "text"]).mapInArrow(_sketch, _CAND_SCHEMA), "ngram-texts")
-    sketches = candidates.select("doc_id", "n", "parity")
+    star = member.join(pivots.where("m > 1"), "list_id").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    x = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+
+    def closer(pairs: DataFrame, tag: str) -> DataFrame:
+        both = pairs.join(y, "b").join(x, "a").select("a", "na", "sa", "b", "nb", "sb")
+        return cuts.written(both.mapInArrow(_closer, "a long, b long").distinct(), tag)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = candidates.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        y = candidates.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct()
-
-    x = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    y = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    near = star.join(x, "a").join(y, "b").where(_may_link("na", "nb", "pa", "pb")).select("a", "b").distinct()
-    links = cuts.written(verified(near).unionByName(copies), "ngram-links")
+        met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = base.join(met, "doc_id", "left_semi").where("text is not null").dropDuplicates(["doc_id", "text"])
+        texts = cuts.written(texts, "ngram-texts")
+        ta, tb = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
+        return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct()
+
+    links = cuts.written(verified(closer(star, "ngram-near")).unionByName(copies), "ngram-links")
     comp = components(links)
 
     # Then members of one list in different components, in pairs of blocks where the list is long.
@@ -403,11 +429,12 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     open_ = labelled.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 != c1 and m > 2")
     open_ = open_.select("list_id", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     left = cuts.written(labelled.join(open_, "list_id").select("list_id", "nb", "doc_id", "component").distinct(), "ngram-open")
-    left = left.join(sketches, "doc_id").withColumn("x", F.pmod(F.xxhash64("doc_id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    left = left.select("list_id", F.least("x", "o").alias("bi"), F.greatest("x", "o").alias("bj"), (F.col("x") > F.col("o")).cast("int").alias("side"), "doc_id", "component", "n", "parity")
-    left = left.repartition(buckets, "list_id", "bi", "bj").sortWithinPartitions("list_id", "bi", "bj")
-    cross = cuts.written(left.mapInArrow(_apart, "a long, b long").distinct(), "ngram-apart")
-    more = cuts.written(verified(cross), "ngram-more")
+    bits = sketches.select("doc_id", "n", F.substring("sketch", 1, BINS // 8).alias("sketch"))
+    left = left.join(bits, "doc_id").withColumn("x", F.pmod(F.xxhash64("doc_id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    left = left.select("list_id", F.least("x", "o").alias("bi"), F.greatest("x", "o").alias("bj"), (F.col("x") > F.col("o")).cast("int").alias("side"), "doc_id", "component", "n", "sketch")
+    left = left.repartition(buckets, "list_id", "bi", "bj").sortWithinPartitions("list_id", "bi", "bj", "side")
+    cross = left.mapInArrow(_apart, "a long, b long").distinct()
+    more = cuts.written(verified(closer(cross, "ngram-apart")), "ngram-more")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     got = info.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -416,11 +443,3 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     cuts.clear()  # lists, texts and pairs are of the size of the input; only the result stays
     return got
 
-
-def _may_link(na: str, nb: str, pa_: str, pb: str):
-    """Necessary for a link: sizes within 4/3, and parity sketches that differ in no more bits than the sets may."""
-    a, b = F.col(na), F.col(nb)
-    differ = F.lit(0)
-    for i in range(SKETCH):
-        differ = differ + F.bit_count(F.col(pa_)[i].bitwiseXOR(F.col(pb)[i]))
-    return (4 * a >= 3 * b) & (4 * b >= 3 * a) & (7 * differ <= a + b)
