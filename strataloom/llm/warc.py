@@ -1,10 +1,11 @@
 """WARC archives of pages, written and read back with segments reassembled.
 
-Records are built and written by Spark's text writer (record terminator as the line separator, one gzip stream per
-file). A record's block is an HTTP response in chunked transfer framing; blocks beyond SEGMENT bytes are split into a
+Records are built and written by Spark's text writer (record terminator as the line separator; one gzip stream per
+file, which readers of whole files take, but not those that seek to single records). A record's block is an HTTP response in chunked transfer framing; blocks beyond SEGMENT bytes are split into a
 first segment and continuation records, so records, and with a bound on the records of a file the archive files too, have
 a bounded size. Reading takes archive files as binary rows; continuation records are grouped by their origin's id,
-ordered by segment number, checked against the total length that the last one states, and the framing is undone.
+ordered by segment number, checked against the total length that the last one states, and the framing is undone. A payload
+whose digest is not the one that its record states is an error.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,7 @@ CHUNK = 8_192
 RECORDS_A_FILE = 1_024
 LEAST_SHARED = 100
 CRLF = "\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Transfer-Encoding: chunked{CRLF}{CRLF}"
 _PARSED = "record_id string, type string, page_id string, refers_to string, digest string, number long, total long, block binary, payload_bytes long, found_digest string"
 _NAMES = [c.split()[0] for c in _PARSED.split(", ")]
@@ -34,13 +37,17 @@ def _bytes(c):
 
 
 def decide(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) with payload, digest, and the page that a repeated payload refers to."""
+    """``pages`` (page_id, url, html) with payload, digest, record id, and page and record id that a repeated payload refers to."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2(_bytes(F.col("payload")), 256))
+    serial = F.monotonically_increasing_id().cast("string")  # tells rows that repeat a page_id apart
+    rid = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), serial, F.lit(">"))
+    rows = rows.withColumn("rid", rid).withColumn("digest", F.sha2(_bytes(F.col("payload")), 256))
     shared = F.octet_length("payload") >= LEAST_SHARED
-    first = rows.where(shared & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = rows.where(shared & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "rid")).alias("first"), F.count("*").alias("n")).where("n > 1")
     key = F.when(shared, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))  # small payloads meet nothing
-    return rows.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left").drop("key").withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first")))
+    rows = rows.withColumn("key", key).join(first.select(F.col("digest").alias("key"), "first"), "key", "left").drop("key")
+    again = F.col("first")["page_id"] < F.col("page_id")
+    return rows.select("*", F.when(again, F.col("first")["page_id"]).alias("refers_to"), F.when(again, F.col("first")["rid"]).alias("refers_rid")).drop("first")
 
 
 def records(decided: DataFrame) -> DataFrame:
@@ -51,8 +58,7 @@ def records(decided: DataFrame) -> DataFrame:
     framed = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda i: F.concat(F.lower(F.hex(F.octet_length(chunk(i)).cast("long"))), F.lit(CRLF), chunk(i).cast("string"), F.lit(CRLF)))
     framed = F.when(n_chunks > 0, F.array_join(framed, "")).otherwise(F.lit(""))
     block = F.when(F.col("refers_to").isNull(), F.concat(F.lit(HTTP_HEAD), framed, F.lit("0" + CRLF + CRLF))).otherwise(F.lit(f"HTTP/1.1 200 OK{CRLF}{CRLF}"))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    rows = decided.select("page_id", "url", "digest", "refers_to", F.concat(F.lit("<urn:page:"), page, F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(">")).alias("rid"), _bytes(block).alias("block"))
+    rows = decided.select("page_id", "url", "digest", "refers_to", "refers_rid", "rid", _bytes(block).alias("block"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("block") / F.lit(SEGMENT)).cast("int"))
     rows = rows.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     part = F.substring(F.col("block"), (F.col("i") - 1) * SEGMENT + 1, F.lit(SEGMENT))
@@ -64,9 +70,10 @@ def records(decided: DataFrame) -> DataFrame:
         F.lit(f"WARC/1.1{CRLF}"),
         field("WARC-Type", F.when(~one, "continuation").when(F.col("refers_to").isNull(), "response").otherwise("revisit")),
         field("WARC-Record-ID", F.when(one, F.col("rid")).otherwise(F.concat(F.rtrim(F.lit(">"), F.col("rid")), F.lit("#"), F.col("i").cast("string"), F.lit(">")))),
+        field("WARC-Date", F.lit(datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))),
         field("WARC-Target-URI", url),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(F.col("refers_to").isNotNull(), field("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))).otherwise(""),
+        F.when(F.col("refers_to").isNotNull(), F.concat(field("WARC-Refers-To", F.col("refers_rid")), F.when(one, field("WARC-Profile", F.lit(PROFILE))).otherwise(""))).otherwise(""),
         F.when(many, field("WARC-Segment-Number", F.col("i").cast("string"))).otherwise(""),
         F.when(~one, field("WARC-Segment-Origin-ID", F.col("rid"))).otherwise(""),
         F.when(many & (F.col("i") == F.col("n")), field("WARC-Segment-Total-Length", F.octet_length("block").cast("string"))).otherwise(""),
@@ -131,7 +138,9 @@ def _read(batches):
                 number = head.get("warc-segment-number")
                 rid = head["warc-record-id"] if head["warc-type"] != "continuation" else head["warc-segment-origin-id"]
                 payload = undo_chunks(block) if number is None and head["warc-type"] == "response" else None
-                refers = head.get("warc-refers-to", "").removeprefix("<urn:page:").rstrip(">") or None
+                refers = head["warc-refers-to"].split(":")[2] if "warc-refers-to" in head else None
+                if payload is not None and head.get("warc-payload-digest") != f"sha256:{hashlib.sha256(payload).hexdigest()}":
+                    raise ValueError(f"record {rid}: the payload is not that of its digest")
                 row = (rid, head["warc-type"], rid.split(":")[2], refers, head.get("warc-payload-digest", "").removeprefix("sha256:"), int(number or 1), int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, block if number else None, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest())
                 for c, v in zip(cols, row):
                     c.append(v)
@@ -144,14 +153,16 @@ def _assemble(batches):
     for batch in batches:
         b = batch.to_pydict()
         size, found = [], []
-        for rid, segments, n, digest in zip(b["record_id"], b["segments"], b["payload_bytes"], b["found_digest"]):
+        for rid, segments, n, digest, declared in zip(b["record_id"], b["segments"], b["payload_bytes"], b["found_digest"], b["digest"]):
             if segments:
                 block = b"".join(s["block"] for s in segments)
                 numbers = [s["number"] for s in segments]
                 if numbers != list(range(1, len(segments) + 1)) or segments[-1]["total"] != len(block):
                     raise ValueError(f"record {rid} is not whole: segments {numbers}, {len(block)} bytes")
                 payload = undo_chunks(block)
-                n, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                stated, (n, digest) = declared, (len(payload), hashlib.sha256(payload).hexdigest())
+                if digest != stated:
+                    raise ValueError(f"record {rid}: the payload is not that of its digest")
             size.append(n)
             found.append(digest)
         yield pa.RecordBatch.from_arrays([pa.array(b[c], pa.string()) for c in names[:4]] + [pa.array(size, pa.int64()), pa.array(found, pa.string())], names=names)

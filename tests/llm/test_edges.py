@@ -150,6 +150,48 @@ def test_warc(spark):
     assert archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_files_by_a_plain_reader(spark, tmp_path):
+    """Mandatory fields, references to records that exist, segments and lengths, read without the operator's own parser."""
+    import gzip
+
+    from strataloom.llm.warc import SEGMENT, write_archives
+
+    big = "".join(f"{i} <p>\r\n" for i in range(12_000))
+    pages = [(1, "http://a/", big), (2, "http://b/", big), (3, "http://c/", "x" * 150), (4, "http://d/", "x" * 150), (5, None, "tiny")]
+    write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"))
+    found: dict[str, list] = {}
+    for f in (tmp_path / "w").glob("part-*.gz"):
+        data = gzip.decompress(f.read_bytes())
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            n = int(fields["Content-Length"])
+            assert lines[0] == "WARC/1.1" and rest[n : n + 4] == b"\r\n\r\n" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields)
+            found.setdefault(fields["WARC-Type"], []).append((fields, rest[:n]))
+            data = rest[n + 4 :]
+    ids = [f["WARC-Record-ID"] for kind in found.values() for f, _ in kind]
+    assert len(set(ids)) == len(ids)
+    responses = {f["WARC-Record-ID"]: f for f, _ in found["response"]}
+    assert len(responses) == 3 and len(found["revisit"]) == 2
+    for f, _ in found["revisit"]:
+        assert responses[f["WARC-Refers-To"]]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and f["WARC-Profile"].endswith("identical-payload-digest")
+    first = next(f for f, _ in found["response"] if "WARC-Segment-Number" in f)
+    more = sorted((int(f["WARC-Segment-Number"]), f, b) for f, b in found["continuation"])
+    assert {f["WARC-Segment-Origin-ID"] for _, f, _ in more} == {first["WARC-Record-ID"]} and [n for n, *_ in more] == list(range(2, len(more) + 2))
+    assert int(more[-1][1]["WARC-Segment-Total-Length"]) == SEGMENT + sum(len(b) for *_, b in more)
+
+
+def test_warc_refuses_a_payload_that_is_not_its_digests(spark, tmp_path):
+    from strataloom.llm.warc import CRLF, decide, read_archives, records
+
+    pages = spark.createDataFrame([(1, "http://a/", "some page")], "page_id long, url string, html string")
+    wrong = records(decide(pages)).withColumn("value", F.regexp_replace("value", "some page", "same page"))
+    wrong.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(str(tmp_path / "w"))
+    with pytest.raises(Exception, match="not that of its digest"):
+        read_archives(spark, str(tmp_path / "w")).collect()
+
+
 def test_embedding_dedup(spark):
     r = random.Random(6)
     base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(6)]
