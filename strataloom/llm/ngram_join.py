@@ -38,7 +38,7 @@ BLOCK = 2_048  # members of a list that are compared in one task
 ENTRIES = 4_000_000  # signatures in a bucket
 BINS = 1024  # of a sketch
 LARGE = 512  # features above which a sketch holds counts, not only their parities
-PAIRS = 500_000  # held at a time
+FEW_IDS = 2_000_000  # document ids that are broadcast (16 bytes each); more are joined by a shuffle of the texts
 COUNTERS = 2**21  # size of the table of feature counts, whatever the input
 SLICE = 2**16
 PARTS = 3
@@ -345,23 +345,19 @@ def _apart(batches):
     def compare(rows: pa.Table):
         group = np.cumsum(np.concatenate([[0], np.any([np.diff(rows.column(c).to_numpy()) != 0 for c in ("list_id", "bi", "bj")], axis=0)]))
         side, doc, comp, n, bi, bj = (rows.column(c).to_numpy() for c in ("side", "doc_id", "component", "n", "bi", "bj"))
+        bits = np.frombuffer(b"".join(x[: BINS // 8] for x in rows.column("sketch").to_pylist()), np.uint64).reshape(len(group), -1)
         pairs, left, step = [np.zeros((0, 2), dtype=np.int64)], np.arange(len(group)), 1
         while len(left := left[left + step < len(group)]) and len(left := left[group[left] == group[left + step]]):
             right = left + step
             ok = (comp[left] != comp[right]) & ((bi[left] == bj[left]) | (side[left] != side[right])) & (4 * n[left] >= 3 * n[right]) & (4 * n[right] >= 3 * n[left])
-            pairs.append(np.stack([left[ok], right[ok]], axis=1))
+            a, b = left[ok], right[ok]
+            near = 7 * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b]
+            pairs.append(np.stack([a[near], b[near]], axis=1))
             step += 1
-            if sum(map(len, pairs)) > PAIRS:
-                pairs = [once(np.concatenate(pairs), doc)]
-        both = once(np.concatenate(pairs), doc)
-        keep = both[may_link(n, rows.column("sketch").to_pylist(), both[:, 0], both[:, 1])] if len(both) else both
-        a, b = doc[keep[:, 0]], doc[keep[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def once(pairs, doc):
-        """Each pair of documents once, whatever the number of their lists."""
-        ids = np.sort(doc[pairs], axis=1)
-        return pairs[np.unique(ids, axis=0, return_index=True)[1]]
+        ids, at = np.unique(doc, return_inverse=True)
+        both = np.sort(at[np.concatenate(pairs)], axis=1)
+        both = np.unique(both[:, 0] * len(ids) + both[:, 1])  # each pair of documents once, whatever the number of their lists
+        return pa.RecordBatch.from_arrays([pa.array(ids[both // max(len(ids), 1)]), pa.array(ids[both % max(len(ids), 1)])], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -416,6 +412,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        met = F.broadcast(met) if met.count() <= FEW_IDS else met
         texts = base.join(met, "doc_id", "left_semi").where("text is not null").dropDuplicates(["doc_id", "text"])
         texts = cuts.written(texts, "ngram-texts")
         ta, tb = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
