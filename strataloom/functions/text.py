@@ -13,10 +13,22 @@ STOP_WORDS = (
 ).split()
 
 
+def _pieces(text: Column) -> Column:
+    return F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z])([A-Z])", "$1 $2")), r"[^\p{L}\p{N}]+")
+
+
+def _wanted(tokens: Column, least: int) -> Column:
+    return F.filter(tokens, lambda t: (F.length(t) >= least) & (F.translate(t, "0123456789", "") != "") & ~t.isin(STOP_WORDS))
+
+
 def index_tokens(text: Column, least: int = 2) -> Column:
     """Lower-case tokens: cut at camel humps, underscores and punctuation; without numbers, stop words and short ones. Null gives none."""
-    cut = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z])([A-Z])", "$1 $2")), r"[^\p{L}\p{N}]+")
-    return F.filter(cut, lambda t: (F.length(t) >= least) & ~t.rlike(r"^[0-9]+$") & ~t.isin(STOP_WORDS))
+    return _wanted(_pieces(text), least)
+
+
+def different_tokens(text: Column, least: int = 2) -> Column:
+    """Each of the tokens once."""
+    return _wanted(F.array_distinct(_pieces(text)), least)
 
 
 def normalized(text: Column) -> Column:

@@ -1,10 +1,11 @@
-"""Keyword, vector and fused search over whole tables."""
+"""Keyword, vector and fused search over whole tables, and a kept keyword index."""
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.measures import cosine
@@ -35,6 +36,47 @@ def bm25(docs: DataFrame, terms: list[str], text: str = "text", doc_id: str = "d
     return ranked(scored, k)
 
 
+BUCKETS = 64
+
+
+class KeywordIndex:
+    """Postings kept as Parquet under a folder: (term, doc_id, tf, length) by a hash of the term, sorted, and the corpus figures of every batch.
+
+    A search reads the folders of its terms only, and of those the row groups that may hold them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> KeywordIndex:
+        """Add documents (ids that are not in the index yet)."""
+        tokens = docs.select(F.col(doc_id).alias("doc_id"), index_tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
+        counted = tokens.select("doc_id", "length", F.explode("t").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket")
+        rows = counted.select("term", "doc_id", "tf", "length", bucket).repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id")
+        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).write.mode("append").parquet(f"{self.path}/figures")
+        return self
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    def figures(self) -> DataFrame:
+        """One row: documents and mean length."""
+        return self.spark.read.parquet(f"{self.path}/figures").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("mean"))
+
+    def search(self, terms: list[str], k: int | None = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """(doc_id, score, rank) as of ``bm25``."""
+        wanted = sorted(set(terms))
+        own = self.postings().where(F.col("bucket").isin([zlib.crc32(t.encode()) % BUCKETS for t in wanted]) & F.col("term").isin(wanted))
+        times = reduce(lambda c, t: c.when(F.col("term") == t, terms.count(t)), wanted, F.when(F.lit(False), 0))
+        df = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.figures()))  # a row a term, and one row
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        weight = df.select("term", (times * idf).alias("weight"), "mean")
+        part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+        return ranked(own.join(F.broadcast(weight), "term").groupBy("doc_id").agg(F.sum(part).alias("score")), k)
+
+
 def vector_search(vectors: DataFrame, query: list[float], k: int | None = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(doc_id, score, rank) of the ``k`` vectors with the largest cosine to ``query``."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataloom.operators import activity as A
@@ -37,14 +38,27 @@ def inequality(spark, sf):
     return _rounded(T.inequality(totals, "v"), "gini", "cr4", "cr8", "herfindahl")
 
 
-def nation_edges(spark, sf):
-    """Customers' nations to suppliers' nations over urgent returned orders; filters reach the scans."""
+def nation_weights(spark, sf):
+    """(src, dst, weight): what customers' nations buy from suppliers' nations; pairs of keys are summed before the small tables join."""
     nation = table(spark, sf, "nation")
-    line = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select("l_orderkey", "l_suppkey")
-    order = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    e = line.join(order, "l_orderkey").join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    e = e.select("c_nationkey", "s_nationkey").distinct()
-    return e.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src")), "c_nationkey").join(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst")), "s_nationkey").select("src", "dst")
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    order = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    e = line.join(order, "l_orderkey").groupBy("c_custkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    e = e.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    e = e.groupBy("c_nationkey", "s_nationkey").agg(F.sum("q").alias("weight"))
+    return e.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src")), "c_nationkey").join(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst")), "s_nationkey").select("src", "dst", "weight")
+
+
+def nation_edges(spark, sf):
+    """Pairs of nations that trade more than the mean of all pairs."""
+    w = nation_weights(spark, sf)
+    return w.crossJoin(F.broadcast(w.agg(F.avg("weight").alias("mean")))).where("weight > mean").select("src", "dst")  # one row
+
+
+def main_edges(spark, sf):
+    """Of each nation the one that it buys most from."""
+    best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    return nation_weights(spark, sf).withColumn("r", best).where("r = 1").select("src", "dst")
 
 
 def coupling_martin(spark, sf):
@@ -61,17 +75,18 @@ def propagation_factor(spark, sf):
     return _rounded(G.propagation_factor(nation_edges(spark, sf)), "factor")
 
 
-def _bulk_edges(spark, sf):
-    return table(spark, sf, "lineitem").where("l_quantity = 50 and l_discount = 0.0").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+def _supplies(spark, sf):
+    """Parts and their suppliers, of all lines."""
+    return table(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
 
 
 def graph_components(spark, sf):
-    return G.components(_bulk_edges(spark, sf))
+    return G.components(_supplies(spark, sf))
 
 
 def graph_bfs_depth2(spark, sf):
     seed = table(spark, sf, "supplier").where("s_suppkey = 1").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
-    return G.neighbours(_bulk_edges(spark, sf), seed, 2)
+    return G.neighbours(_supplies(spark, sf), seed, 2)
 
 
 def edge_cap(spark, sf):
@@ -119,7 +134,7 @@ _COUPLING = f"""e AS ({S.NATION_EDGES}),
 ends AS (SELECT src AS node, (src <> dst)::INT AS ce, 0 AS ca, (src = dst)::INT AS internal FROM e UNION ALL SELECT dst, 0, (src <> dst)::INT, 0 FROM e),
 c AS (SELECT node, sum(ca)::BIGINT AS ca, sum(ce)::BIGINT AS ce, sum(internal)::BIGINT AS internal FROM ends GROUP BY node),
 i AS (SELECT *, CASE WHEN ca + ce > 0 THEN ce / (ca + ce)::DOUBLE ELSE 0.0 END AS instability FROM c)"""
-_BULK = "b AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.0), u AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b)"
+_BULK = "b AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), u AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b)"
 SQL = {
     "distribution_stats": """WITH m AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std, min(l_quantity) AS min, max(l_quantity) AS max, sum(l_quantity) AS total,
  quantile_cont(l_quantity, 0.05) AS p5, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS q3, quantile_cont(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY 1),
@@ -144,7 +159,6 @@ SELECT src, dst, round(si, 6) AS src_instability, round(di, 6) AS dst_instabilit
     "propagation_factor": f"""WITH RECURSIVE e AS ({S.NATION_EDGES}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT src AS node, count(*) AS reached FROM r WHERE src <> dst GROUP BY 1)
 SELECT node, coalesce(reached, 0) AS reached, round(coalesce(reached, 0) / (SELECT count(*) FROM n)::DOUBLE, 6) AS factor FROM n LEFT JOIN c USING (node)""",
-    "graph_components": f"WITH RECURSIVE {_BULK}, r AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM r JOIN u ON r.dst = u.src) SELECT src AS node, least(src, min(dst)) AS component FROM r GROUP BY src",
     "graph_bfs_depth2": f"WITH {_BULK}, a AS (SELECT DISTINCT dst AS node FROM u WHERE src = 's1'), o AS (SELECT DISTINCT u.dst AS node FROM u JOIN a ON u.src = a.node WHERE u.dst <> 's1' AND u.dst NOT IN (SELECT node FROM a)) SELECT node, 1 AS level FROM a UNION ALL SELECT node, 2 FROM o",
     "edge_cap": """WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS a, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS b FROM e) SELECT src, dst, weight FROM r WHERE a <= 20 AND b <= 20""",

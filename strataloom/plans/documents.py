@@ -35,8 +35,8 @@ def repeated_lines(spark, sf):
 
 
 def near_duplicates_jaccard(spark, sf):
-    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return D.similar_pairs(turns, 0.6).withColumn("similarity", F.round("similarity", 6))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return D.similar_pairs(docs, 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 def page_links(spark, sf):
@@ -109,15 +109,15 @@ def _redacted(tier: str) -> str:
 
 _SHINGLES = "list_distinct([array_to_string(w[i:i+7], ' ') for i in range(1, len(w) - 6)])"
 _LINKS = """WITH l AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)"', 1) AS h FROM pages), x AS (SELECT page_id, (generate_subscripts(h, 1) - 1)::INT AS pos, unnest(h) AS href FROM l)"""
-_REASONS = ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), {S.q('(?i)' + p)}) THEN '{g}:{n}' END" for g, many in (("secret", G.SECRET), ("injection", G.INJECTION)) for n, p in many.items())
+_REASONS = ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), {S.q('(?i)' + p)}) THEN '{g}:{n}' END" for g, many in G.RULES.items() for n, p in many.items())
 SQL = {
     "top_concepts": f"WITH {_concepts(20)} SELECT * FROM c",
     "concept_cooccurrence": f"WITH {_concepts(20)}, k AS (SELECT doc_id, concept FROM m SEMI JOIN c USING (concept)) SELECT x.concept AS a, y.concept AS b, count(*) AS documents FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.concept < y.concept GROUP BY 1, 2",
     "coverage_gaps": f"WITH {_concepts(200, 'WHERE source IS NOT NULL')}, s AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) SELECT source, concept FROM s, c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = s.source AND m.concept = c.concept)",
     "duplicate_paragraphs": _repeated(D.PARAGRAPHS),
     "repeated_lines": _repeated(D.LINES),
-    "near_duplicates_jaccard": f"""WITH t AS (SELECT min(conv_id * 1000 + turn) AS id, ws FROM (SELECT conv_id, turn, list_sort(list_distinct({S.words()})) AS ws FROM conversations) WHERE len(ws) > 0 GROUP BY ws),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.ws, b.ws)) AS i, len(a.ws) + len(b.ws) AS n FROM t a JOIN t b ON a.id < b.id) SELECT a, b, round(i / (n - i)::DOUBLE, 6) AS similarity FROM p WHERE i / (n - i)::DOUBLE >= 0.6""",
+    "near_duplicates_jaccard": f"""WITH t AS (SELECT min(doc_id) AS id, ws, len(ws) AS n FROM (SELECT doc_id, list_sort(list_distinct({S.words()})) AS ws FROM documents) WHERE len(ws) > 0 GROUP BY ws),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.ws, b.ws)) AS i, a.n + b.n AS n FROM t a JOIN t b ON a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n) SELECT a, b, round(i / (n - i)::DOUBLE, 6) AS similarity FROM p WHERE i / (n - i)::DOUBLE >= 0.8""",
     "page_links": f"{_LINKS} SELECT page_id, pos, href FROM x",
     "link_hosts": f"{_LINKS} SELECT CASE WHEN regexp_extract(href, '^https?://([^/?#]+)', 1) = '' THEN '(local)' ELSE regexp_extract(href, '^https?://([^/?#]+)', 1) END AS host, count(*) AS links FROM x GROUP BY 1",
     "benchmark_overlap": f"""WITH dw AS (SELECT doc_id, {S.words()} AS w FROM documents), iw AS (SELECT item_id, {S.words()} AS w FROM benchmark), d AS (SELECT doc_id, unnest({_SHINGLES}) AS g FROM dw), i AS (SELECT item_id, {_SHINGLES} AS s FROM iw), r AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM i)
@@ -127,8 +127,11 @@ SELECT doc_id, item_id, count(*) AS shared, round(count(*) / any_value(n)::DOUBL
 f AS (SELECT doc_id, len(w)::INT AS words, CASE WHEN len(w) > 0 THEN least(1.0::DOUBLE, len(list_distinct(w)) / len(w)::DOUBLE / 0.6::DOUBLE) ELSE 0 END AS lexical, CASE WHEN len(l) > 1 THEN greatest(0::DOUBLE, 1 - list_aggregate(l, 'stddev_pop') / list_avg(l) * 0.5::DOUBLE) ELSE 0.5 END AS regularity,
  greatest(0::DOUBLE, 1 - CASE WHEN regexp_matches(t, '^\p{Ll}') THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?:;"'']$') THEN 0.1::DOUBLE ELSE 0 END) AS completeness FROM x)
 SELECT doc_id, words, round(lexical, 6) AS lexical, round(regularity, 6) AS regularity, round(completeness, 6) AS completeness, round(CASE WHEN words < 10 THEN 0.3::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, 0.3::DOUBLE * lexical + 0.25::DOUBLE * regularity + 0.45::DOUBLE * completeness)) END, 6) AS quality FROM f""",
+    "best_sentences": rf"""WITH {_concepts(20)}, p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS l FROM documents),
+x AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS s FROM p), k AS (SELECT list(concept) AS k FROM c), h AS (SELECT doc_id, pos, len(list_intersect(list_distinct({S.tokens("s")}), k))::INT AS hits FROM x, k)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, pos))::INT AS rank, pos, hits FROM h WHERE hits > 0 QUALIFY rank <= 3""",
     "pii_detect_counts": "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(coalesce(text, ''), {S.q(p)}))::BIGINT AS n_{k}" for k, p in G.ENTITY.items()) + " FROM documents",
-    "secret_policy": f"WITH r AS (SELECT doc_id, list_filter([{_REASONS}, CASE WHEN length(coalesce(text, '')) > 8000 THEN 'too_long' END], lambda x: x IS NOT NULL) AS r FROM documents) SELECT doc_id, CASE WHEN len(r) > 0 THEN 'reject' ELSE 'accept' END AS action, coalesce(array_to_string(r, ','), '') AS reasons FROM r",
+    "secret_policy": f"WITH r AS (SELECT doc_id, list_filter([{_REASONS}, CASE WHEN length(coalesce(text, '')) > 8000 THEN 'too_long' END], lambda x: x IS NOT NULL) AS r FROM documents) SELECT doc_id, CASE WHEN len(list_filter(r, lambda x: NOT starts_with(x, 'quarantine:'))) > 0 THEN 'reject' WHEN len(r) > 0 THEN 'quarantine' ELSE 'accept' END AS action, coalesce(array_to_string(r, ','), '') AS reasons FROM r",
     "redact_s0": _redacted("S0"),
     "redact_s2": _redacted("S2"),
 }

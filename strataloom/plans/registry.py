@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, documents, memory, retrieval, structure
+from . import audit, documents, items, markdown, memory, metrics, retrieval, structure
 
-MODULES = (retrieval, audit, memory, documents, structure)
+MODULES = (retrieval, audit, memory, documents, structure, items, markdown, metrics)
 
 
 def queries() -> dict:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strataloom.operators import retrieval as R
-from strataloom.sources.tables import table
+from strataloom.sources.tables import scratch, table
 
 from . import sql as S
 
@@ -13,14 +15,38 @@ TERMS = ["ention", "elle", "heren", "ention"]
 QUERY, K = 0, 10
 
 
+_BUILT: dict[tuple, R.KeywordIndex] = {}
+
+
+def _index(spark, sf):
+    """The documents' keyword index, built once for an application and the files it was read from."""
+    docs = table(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, *docs.inputFiles())
+    if key not in _BUILT:
+        _BUILT[key] = R.KeywordIndex(spark, f"{scratch(spark)}/keywords-{uuid.uuid4().hex}").append(docs)
+    return _BUILT[key]
+
+
 def _keyword(spark, sf, k=2 * K):
-    return R.bm25(table(spark, sf, "documents"), TERMS, k=k)
+    return _index(spark, sf).search(TERMS, k)
+
+
+def bm25_scan(spark, sf):
+    """The same search without an index: two passes over the texts."""
+    return _out(R.bm25(table(spark, sf, "documents"), TERMS, k=K))
+
+
+def bm25_index_terms(spark, sf):
+    """The most frequent terms of the index."""
+    terms = _index(spark, sf).postings().groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("uses"))
+    return terms.orderBy(F.desc("documents"), "term").limit(50)
 
 
 def _vector(spark, sf, k=2 * K):
+    """Nothing where the query vector is missing."""
     vectors = table(spark, sf, "embeddings")
-    query = vectors.where(F.col("vec_id") == QUERY).select("embedding").first()["embedding"]
-    return R.vector_search(vectors, query, k)
+    query = vectors.where((F.col("vec_id") == QUERY) & F.col("embedding").isNotNull()).select("embedding").first()
+    return R.vector_search(vectors if query else vectors.limit(0), query["embedding"] if query else [0.0], k)
 
 
 def _out(df):
@@ -59,12 +85,15 @@ def fulltext_like(spark, sf):
     return R.contains_all(table(spark, sf, "documents"), ["Tion", "ELLE"], ["text", "source"]).select("doc_id", "source")
 
 
-QUERIES = [bm25_topk, vector_topk, hybrid_rrf, hybrid_weighted, hybrid_interleave, hybrid_keyword_rerank, hybrid_vector_rerank, fulltext_like]
+QUERIES = [bm25_topk, bm25_scan, bm25_index_terms, vector_topk, hybrid_rrf, hybrid_weighted, hybrid_interleave, hybrid_keyword_rerank, hybrid_vector_rerank, fulltext_like]
 
 _BOTH = f"WITH RECURSIVE {S.keyword_list(TERMS, 2 * K)},{S.vector_list(QUERY, 2 * K)}"
 _RANKED = f"SELECT doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank FROM s QUALIFY rank <= {K}"
+_BM25 = f"WITH {S.keyword_list(TERMS, K)} SELECT doc_id, round(score, 6) AS score, rank::INT AS rank FROM kw"
 SQL = {
-    "bm25_topk": f"WITH {S.keyword_list(TERMS, K)} SELECT doc_id, round(score, 6) AS score, rank::INT AS rank FROM kw",
+    "bm25_topk": _BM25,
+    "bm25_scan": _BM25,
+    "bm25_index_terms": f"WITH t AS (SELECT doc_id, unnest({S.tokens()}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS uses FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
     "vector_topk": f"WITH {S.vector_list(QUERY, K)} SELECT doc_id, round(score, 6) AS score, rank::INT AS rank FROM vec",
     "hybrid_rrf": f"{_BOTH}, s AS (SELECT doc_id, coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + vec.rank), 0) AS score FROM kw FULL JOIN vec USING (doc_id)) {_RANKED}",
     "hybrid_weighted": f"{_BOTH}, s AS (SELECT doc_id, 0.5 * coalesce(kw.score / (SELECT max(score) FROM kw), 0) + 0.5 * coalesce(vec.score, 0) AS score FROM kw FULL JOIN vec USING (doc_id)) {_RANKED}",

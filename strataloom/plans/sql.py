@@ -44,8 +44,18 @@ vs AS (SELECT a.vec_id AS doc_id, coalesce(list_cosine_similarity(a.embedding::D
 vec AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM vs QUALIFY rank <= {k})"""
 
 
-#: The dependency graph of nations: customers' nations to suppliers' nations over urgent returned orders.
-NATION_EDGES = """SELECT DISTINCT cn.n_name AS src, sn.n_name AS dst FROM lineitem
+#: What the customers of each nation buy from the suppliers of each.
+NATION_WEIGHTS = """SELECT cn.n_name AS src, sn.n_name AS dst, sum(l_quantity) AS weight FROM lineitem
 JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey
-WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND l_quantity >= 45"""
+JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2"""
+#: The dependency graph of nations: pairs above the mean of all pairs; and of each nation its largest one.
+NATION_EDGES = f"SELECT src, dst FROM ({NATION_WEIGHTS}) QUALIFY weight > avg(weight) OVER ()"
+MAIN_EDGES = f"SELECT src, dst FROM ({NATION_WEIGHTS}) QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) = 1"
+
+
+#: A Markdown text for every part, in SQL that both engines read.
+MARKDOWN = """'---' || chr(10) || 'title: ' || p_name || chr(10) || 'brand: ' || p_brand || chr(10) || '---' || chr(10) || '# ' || p_name || chr(10) || chr(10)
+|| 'See Figure ' || CAST(p_size % 4 + 1 AS VARCHAR(9)) || ' and Table 2.' || chr(10) || 'Figure 1: ' || p_type || chr(10) || 'Figure 3: ' || p_brand || ', not Figure 3' || chr(10) || chr(10)
+|| '## Sizes & **Prices**, `' || p_brand || '`' || chr(10) || '| size | price |' || chr(10) || '|---|---|' || chr(10) || repeat('| ' || CAST(p_size AS VARCHAR(9)) || ' | 10 |' || chr(10), CAST(p_size % 6 AS INT))
+|| '- ' || p_type || chr(10) || '1. one' || chr(10) || '> quoted ' || p_brand || chr(10) || '```' || chr(10) || '# not a heading F' || lpad(CAST(p_partkey AS VARCHAR(9)), 6, '0') || chr(10) || '```' || chr(10)
+|| '## ' || p_name || chr(10) || 'total: ' || CAST(p_size AS VARCHAR(9)) || ' in /home/' || lower(substr(p_brand, 1, 5)) || '/x run_20240101_120000_ab for model ' || CAST(p_size AS VARCHAR(9)) || chr(10) || '#### Deep [link](http://x) ' || CAST(p_size AS VARCHAR(9))"""

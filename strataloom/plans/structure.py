@@ -10,14 +10,14 @@ from strataloom.operators import structure as T
 from strataloom.sources.tables import table
 
 from . import sql as S
-from .audit import nation_edges
+from .audit import main_edges, nation_edges
 from .memory import _CORPUS, _corpus
 
 
 def _dependencies(spark, sf):
     """Suppliers as projects, brands as artifacts; the version is made of the part's size."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("artifact"), F.format_string("%d.%d", F.floor(F.col("p_size") / 10), F.col("p_size") % 10).alias("version"))
-    return table(spark, sf, "lineitem").where("l_quantity = 50").select("l_partkey", F.col("l_suppkey").alias("project")).join(part, "l_partkey").select("project", "artifact", "version").distinct()
+    return table(spark, sf, "lineitem").select("l_partkey", F.col("l_suppkey").alias("project")).join(part, "l_partkey").select("project", "artifact", "version").distinct()
 
 
 def advisories(spark, sf):
@@ -41,15 +41,18 @@ def dependency_matrix(spark, sf):
 
 def dead_nodes(spark, sf):
     entries = table(spark, sf, "nation").where("n_nationkey = 5").select(F.col("n_name").alias("node"))
-    return T.unreached(_nations(spark, sf), nation_edges(spark, sf).where("dst > src"), entries)
+    return T.unreached(_nations(spark, sf), main_edges(spark, sf), entries)
 
 
 def orphan_nodes(spark, sf):
-    return T.orphans(_nations(spark, sf), nation_edges(spark, sf).where("src < 'F' and dst < 'J'"))
+    """Nations with neither end in the main edge of another one that is mutual."""
+    e = main_edges(spark, sf)
+    mutual = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
+    return T.orphans(_nations(spark, sf), mutual)
 
 
 def communities(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_quantity >= 49").groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(F.sum("l_quantity").alias("weight"))
+    e = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(F.sum("l_quantity").alias("weight"))
     return T.communities(e)
 
 
@@ -122,16 +125,16 @@ def outline(spark, sf):
 
 QUERIES = [advisories, version_conflicts, dependency_matrix, dead_nodes, orphan_nodes, communities, cluster_agreement, cross_corpus_edges, compacted_graph, chain_audit, merged_items, placeholder_numbers, injected_items, drift_grid, tool_latency, control_ratio, line_windows, heading_jumps, outline]
 
-_DEPS = "d AS (SELECT DISTINCT l_suppkey AS project, p_brand AS artifact, p_size, (p_size // 10) || '.' || (p_size % 10) AS version FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50)"
+_DEPS = "d AS (SELECT DISTINCT l_suppkey AS project, p_brand AS artifact, p_size, (p_size // 10) || '.' || (p_size % 10) AS version FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _HEADINGS = "h AS (SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS line, max(least(3, 1 + l_quantity::INT % 5)) AS level FROM lineitem GROUP BY 1, 2)"
 SQL = {
     "advisories": f"""WITH {_DEPS}, c AS (SELECT p_brand AS artifact, min(p_size) + 5 AS lo, max(p_size) - 5 AS hi, max(p_size) % 2 = 0 AS closed FROM part GROUP BY 1)
 SELECT artifact, project, version, (lo // 10) || '.' || (lo % 10) || '.0' AS low, CASE WHEN closed THEN (hi // 10) || '.' || (hi % 10) || '.0' END AS high FROM d JOIN c USING (artifact) WHERE p_size >= lo AND (NOT closed OR p_size < hi)""",
     "version_conflicts": f"WITH {_DEPS} SELECT artifact, count(DISTINCT version) AS versions, count(*) AS uses FROM d GROUP BY 1 HAVING count(DISTINCT version) > 1",
     "dependency_matrix": f"WITH e AS ({S.NATION_EDGES}) SELECT src, dst, count(*) AS n, (dst, src) IN (SELECT (src, dst) FROM e) AS mutual FROM e WHERE src <> dst GROUP BY src, dst",
-    "dead_nodes": f"""WITH RECURSIVE e AS (SELECT * FROM ({S.NATION_EDGES}) WHERE dst > src), r AS (SELECT n_name AS node FROM nation WHERE n_nationkey = 5 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src)
+    "dead_nodes": f"""WITH RECURSIVE e AS ({S.MAIN_EDGES}), r AS (SELECT n_name AS node FROM nation WHERE n_nationkey = 5 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src)
 SELECT n_name AS node FROM nation WHERE n_name NOT IN (SELECT node FROM r)""",
-    "orphan_nodes": f"WITH e AS (SELECT * FROM ({S.NATION_EDGES}) WHERE src < 'F' AND dst < 'J') SELECT n_name AS node FROM nation WHERE n_name NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
+    "orphan_nodes": f"WITH m AS ({S.MAIN_EDGES}), e AS (SELECT a.src, a.dst FROM m a JOIN m b ON a.src = b.dst AND a.dst = b.src) SELECT n_name AS node FROM nation WHERE n_name NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
     "cluster_agreement": """WITH c AS (SELECT lang AS a, source AS b, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), w AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM c),
 t AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS ab FROM c), pa AS (SELECT sum(n * (n - 1) / 2) AS pa FROM (SELECT sum(n) AS n FROM c GROUP BY a)), pb AS (SELECT sum(n * (n - 1) / 2) AS pb FROM (SELECT sum(n) AS n FROM c GROUP BY b)),
 j AS (SELECT avg(j) AS jaccard FROM (SELECT max(n / (na + nb - n)) AS j FROM w GROUP BY a))

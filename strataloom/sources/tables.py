@@ -16,7 +16,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(file_path, content, sha256, size, modified) of whole files under ``path``; bytes that are no UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return raw.select(F.col("path").alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
