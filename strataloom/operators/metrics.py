@@ -125,6 +125,13 @@ def longest_paths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"paths were still growing after {max_rounds} rounds: a cycle")
 
 
+def direct_neighbours(edges: DataFrame) -> DataFrame:
+    """(node, dependencies, dependents): sorted arrays of what each node points to and is pointed to by."""
+    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    out = e.select(F.col("src").alias("node"), F.col("dst").alias("d"), F.lit(None).cast("string").alias("u")).unionByName(e.select(F.col("dst").alias("node"), F.lit(None).cast("string").alias("d"), F.col("src").alias("u")))
+    return out.groupBy("node").agg(F.array_sort(F.collect_list("d")).alias("dependencies"), F.array_sort(F.collect_list("u")).alias("dependents"))
+
+
 def edge_lines(edges: DataFrame, form: str) -> DataFrame:
     """(line) of each edge (src, dst, kind) as ``dot``, ``mermaid`` or ``json``; the sink adds head and foot."""
     if form == "dot":

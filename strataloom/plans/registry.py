@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, documents, items, markdown, memory, metrics, retrieval, structure
+from . import audit, documents, items, markdown, memory, metrics, retrieval, store, structure
 
-MODULES = (retrieval, audit, memory, documents, structure, items, markdown, metrics)
+MODULES = (retrieval, audit, memory, documents, structure, items, markdown, metrics, store)
 
 
 def queries() -> dict:
