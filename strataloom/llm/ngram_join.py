@@ -32,7 +32,7 @@ from .common import Cuts, components, written
 from .words import chunks, mix, sequence_hashes, word_hashes
 
 SHINGLE = 5
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 3_000_000
 LIST_ROWS = 20_000  # members of a list in one row
 BLOCK = 2_048  # members of a list that are compared in one task
 ENTRIES = 4_000_000  # signatures in a bucket
