@@ -22,6 +22,7 @@ from .word_cache import Memo
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SALTS = 256
+FEW_PLACES = 4_000_000
 
 _ENCODERS: dict = {}
 
@@ -146,10 +147,12 @@ def pack(parts: DataFrame, seq_len: int = 2048) -> DataFrame:
             taken[length] += count
             offset += length
         base += count
-    # The patterns' places: their number depends on the number of different lengths only.
-    places = F.broadcast(spark.createDataFrame(slots, "length long, lo long, hi long, base long, offset long"))
+    # The patterns' places: a pattern grows by one piece a step, so their number is bounded by lengths and pieces of a
+    # sequence, not by rows; beyond the bound in bytes (40 a place) they are joined by a shuffle.
+    places = spark.createDataFrame(slots, "length long, lo long, hi long, base long, offset long")
+    places = F.broadcast(places) if len(slots) <= FEW_PLACES else places
     before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
-    before = F.broadcast(before.select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before")))  # at most seq_len * SALTS rows
+    before = F.broadcast(before.select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before")))  # at most seq_len * SALTS rows of 20 bytes: 10 MB
     ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start")))
     ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
     joined = ranked.join(places, (ranked["length"] == places["length"]) & (ranked["_rank"] >= places["lo"]) & (ranked["_rank"] < places["hi"])).drop(places["length"])

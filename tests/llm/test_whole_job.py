@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -30,6 +32,23 @@ def test_credentials_of_every_kind_in_ordinary_places():
     assert find_spans("https://example.com/some-long_path/of/words.html well-known_identifier_names", models) == []
 
 
+def test_ordinary_tokens_are_no_credentials():
+    r, models = random.Random(3), automata()
+    low = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10)))
+    make = [
+        lambda: "_".join(low() for _ in range(4)),
+        lambda: f"https://{low()}.com/{low()}/{low()}?id={r.randrange(10**6)}",
+        lambda: "".join(low().capitalize() for _ in range(4)),
+        lambda: f"{low()}-{r.randrange(2000, 2030)}-{r.randrange(1, 13):02d}-{low()}_{low()}.tar.gz",
+        lambda: "com." + ".".join(low() for _ in range(4)) + low().capitalize() + "Factory",
+        lambda: low() + "=" + "".join(r.choice("0123456789") for _ in range(18)),
+        lambda: "-".join(f"{r.randrange(16**n):0{n}X}" for n in (8, 4, 4, 4, 12)),
+        lambda: f"/usr/lib/{low()}/{low()}.so.{r.randrange(10)}.{r.randrange(10)}",
+    ]
+    wrong = [t for f in make for t in (f() for _ in range(1000)) if any(k == "format" for *_, k in find_spans(t, models))]
+    assert len(wrong) <= 0.001 * 8000, wrong[:5]
+
+
 def crowded_vectors():
     """A third in a cone of mutual cosine about 0.64, and pairs at 0.952 within it and outside."""
     r = np.random.default_rng(3)
