@@ -58,22 +58,22 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community) by weighted label propagation over undirected edges (src, dst, weight).
+    """(node, community, settled) by weighted label propagation over undirected edges (src, dst, weight).
 
     All nodes change at once: each takes the label with the most weight among its neighbours and itself (its own vote
     weighs as much as its heaviest edge), ties go to the smaller label, so results do not depend on the order of rows. It
-    stops when no label changes, or after ``rounds``.
+    stops when no label changes, or after ``rounds``; ``settled`` tells which nodes kept theirs in the last one.
     """
     e = edges.where("src is not null and dst is not null and src != dst").select("src", "dst", "weight")
     both = written(e.union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "lp-edges")
     own = written(both.groupBy(F.col("src").alias("node")).agg(F.max("weight").alias("weight")), "lp-own")
-    labels = written(own.select("node", F.col("node").alias("community")), "lp-labels")
+    labels = written(own.select("node", F.col("node").alias("community"), F.lit(False).alias("settled")), "lp-labels")
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight")
         votes = votes.unionByName(own.join(labels, "node").select("node", "community", "weight")).groupBy("node", "community").agg(F.sum("weight").alias("weight"))
         best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("weight"), F.col("community"))).alias("new"))
         fresh = written(labels.join(best, "node").select("node", "community", "new"), "lp-labels")
-        labels = fresh.select("node", F.col("new").alias("community"))
+        labels = fresh.select("node", F.col("new").alias("community"), (F.col("new") == F.col("community")).alias("settled"))
         if fresh.where("new != community").isEmpty():
             break
     return labels

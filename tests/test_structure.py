@@ -37,7 +37,8 @@ def test_communities_by_a_plain_loop(spark):
         if done:
             break
     df = spark.createDataFrame([*edges, (None, "n1", 1.0)], "src string, dst string, weight double")
-    assert dict(rows(T.communities(df))) == label and len(set(label.values())) < len(label)
+    got = T.communities(df)
+    assert dict(rows(got.select("node", "community"))) == label and got.where("not settled").count() == 0 and len(set(label.values())) < len(label)
     assert rows(T.communities(df.limit(0))) == []
 
 
