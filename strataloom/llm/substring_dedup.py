@@ -30,8 +30,8 @@ from .words import mix, sequence_hashes, word_hashes
 WINDOW = 20
 PREFIX = 5
 HOT = 20_000  # suffix stretches of one prefix in a group
-PART_CHARS = 8_000_000  # of text in a part
-GROUP_WORDS = 4_000_000  # in a group
+PART_CHARS = 3_000_000  # of text in a part
+GROUP_WORDS = 2_000_000  # in a group
 NO_ID = -(2**63)
 _U = np.uint64
 _COUNT_SCHEMA = "bucket int, part long, prefixes binary, counts binary"
@@ -69,7 +69,9 @@ class Suffixes:
             place = np.where(right, place[step:], place[:-step])
             least = np.where(right, least[step:], least[:-step])
             step *= 2
+        del least
         anchor = place[at]
+        del place
         cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         self.first = at[cut]  # position of the first suffix of each stretch
         self.count = np.diff(np.append(cut, len(at)))
