@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, documents, items, markdown, memory, metrics, retrieval, scorecard, store, structure
+from . import audit, documents, items, markdown, memory, metrics, network, retrieval, scorecard, store, structure
 
-MODULES = (retrieval, audit, memory, documents, structure, items, markdown, metrics, store, scorecard)
+MODULES = (retrieval, audit, memory, documents, structure, items, markdown, metrics, store, scorecard, network)
 
 
 def queries() -> dict:
