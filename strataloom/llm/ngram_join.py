@@ -32,7 +32,8 @@ from .common import Cuts, components, written
 from .words import chunks, mix, sequence_hashes, word_hashes
 
 SHINGLE = 5
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 2_000_000
+FEATURES = 50_000  # of sets that are worked on together
 LIST_ROWS = 20_000  # members of a list in one row
 BLOCK = 2_048  # members of a list that are compared in one task
 ENTRIES = 4_000_000  # signatures in a bucket
@@ -129,22 +130,31 @@ def level_signatures(level: int, features: np.ndarray, rare: np.ndarray, owner:
 
 
 def signatures(sets: list[np.ndarray], commonness: np.ndarray, limits: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set, level) of all ``sets`` (none empty)."""
+    """(signature, set, level) of all ``sets`` (none empty), worked out for about FEATURES of their features at a time."""
     sizes = np.asarray([len(s) for s in sets], dtype=np.int64)
-    flat, start = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
-    common = commonness[(flat >> _U(40)) & _U(COUNTERS - 1)].astype(np.int64)
+    turn = np.cumsum(sizes) // FEATURES
+    cut = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(sets)]
+    out = [[np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int8)]]
+    for a, b in zip(cut, cut[1:]):
+        for sig, own, level in _levels(sets[a:b], sizes[a:b], commonness, limits):
+            for c, v in zip(out, (sig, own + a, np.full(len(sig), level, dtype=np.int8))):
+                c.append(v)
+    return tuple(np.concatenate(c) for c in out)
+
+
+def _levels(sets: list[np.ndarray], sizes: np.ndarray, commonness: np.ndarray, limits: list[int]):
+    """(signatures, their sets, level) level by level, until every set has enough."""
+    flat, start = np.concatenate(sets), np.cumsum(sizes) - sizes
+    common = commonness[(flat >> _U(40)) & _U(COUNTERS - 1)].astype(np.int16)
     which, bands, most = instances(sizes)
-    out = [[], [], []]
     for level in range(len(LEVELS)):
         if not len(which):
-            break
+            return
         lens = sizes[which]
-        at = np.repeat(start[which] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+        at = np.repeat(start[which] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
         sig, own, enough = level_signatures(level, flat[at], common[at] <= limits[level], np.repeat(np.arange(len(which)), lens), bands, most)
-        for c, v in zip(out, (sig, which[own], np.full(len(sig), level))):
-            c.append(v)
+        yield sig, which[own], level
         which, bands, most = which[~enough], bands[~enough], most[~enough]
-    return tuple(np.concatenate(c) for c in out)
 
 
 def sketch(features: np.ndarray) -> bytes:
@@ -165,23 +175,23 @@ def may_link(n: np.ndarray, sketches: list[bytes], i: np.ndarray, j: np.ndarray)
     large = [x for x in range(len(sketches)) if len(sketches[x]) > BINS // 8]
     place = np.full(len(sketches), -1)
     place[large] = np.arange(len(large))
-    counts = np.frombuffer(b"".join(sketches[x][BINS // 8 :] for x in large), np.uint8).reshape(-1, BINS).astype(np.int16)
+    counts = np.frombuffer(b"".join(sketches[x][BINS // 8 :] for x in large), np.uint8).reshape(-1, BINS)
     both = (place[i[ok]] >= 0) & (place[j[ok]] >= 0)
-    near = [k[7 * np.abs(counts[place[i[k]]] - counts[place[j[k]]]).sum(axis=1, dtype=np.int64) <= n[i[k]] + n[j[k]]] for k in _slices(ok[both])]
+    near = [k[7 * np.abs(counts[place[i[k]]].astype(np.int16) - counts[place[j[k]]]).sum(axis=1, dtype=np.int64) <= n[i[k]] + n[j[k]]] for k in _slices(ok[both])]
     return np.sort(np.concatenate([ok[~both], *near]))
 
 
-def _slices(x: np.ndarray, size: int = 8192):
+def _slices(x: np.ndarray, size: int = 2048):
     return [x[k : k + size] for k in range(0, max(len(x), 1), size)]
 
 
 def _measure(batches):
     """Size, digest and sketch of every document's set, and at the end how many documents of the partition hold a feature of each counter, in slices."""
     names = ["doc_id", "n_shingles", "digest", "sketch", "slice", "counts"]
-    total = np.zeros(COUNTERS, dtype=np.int64)
+    total = np.zeros(COUNTERS, dtype=np.uint32)
     for ids, texts in chunks(batches, 2, CHUNK_CHARS):
         sets = shingle_sets(texts)
-        total += np.bincount(((np.concatenate(sets) >> _U(40)) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        np.add.at(total, ((np.concatenate(sets) >> _U(40)) & _U(COUNTERS - 1)).astype(np.int32), np.uint32(1))
         n = len(ids)
         own = [[digest(s) if len(s) else None for s in sets], [sketch(s) if len(s) else None for s in sets]]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in own), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -317,12 +327,13 @@ def _lists(batches):
 
 def _verify(batches):
     for batch in batches:
-        b = batch.to_pydict()
         keep_a, keep_b, last, sa = [], [], None, None
-        for x, y, tx, ty in zip(b["a"], b["b"], b["ta"], b["tb"]):
+        ids = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+        for (x, y), tx, ty in zip(ids, batch.column("ta"), batch.column("tb")):
+            tx = tx.as_py()  # one pair of texts at a time
             if (x, tx) != last:
                 last, sa = (x, tx), exact_shingles(tx)
-            sb = exact_shingles(ty)
+            sb = exact_shingles(ty.as_py())
             both = len(sa & sb)
             if 100 * both >= 75 * (len(sa) + len(sb) - both):
                 keep_a.append(x)

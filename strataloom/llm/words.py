@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 250_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BYTE = np.random.default_rng(20_11).integers(1, 2**64, 256, dtype=np.uint64)  # what each byte counts as
@@ -114,5 +115,6 @@ def chunks(batches, columns: int, most_chars: int) -> Iterator[list[list]]:
             if size >= most_chars:
                 yield rows
                 rows, size = [[] for _ in range(columns)], 0
+                pa.default_memory_pool().release_unused()
     if rows[0]:
         yield rows
