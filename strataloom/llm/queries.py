@@ -89,8 +89,52 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place under the root of all, and whether a changed text still leads there."""
+    from .merkle import fold, leaf_digest, proof_digest, prove
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    digest = lambda text: leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    leaves = docs.select("doc_id", "source", digest(F.col("text")).alias("leaf"), F.when(tampered, digest(lowered)).alias("changed"))
+    proved = prove(leaves, "source", ["doc_id"]).withColumn("folded_root", fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) with the faults that the contract plants by a checksum of their place."""
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(of("conv_id"), F.lit(":"), of("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", of("role").alias("role"), of("text").alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, F.lit("")).when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, F.lit("user")).otherwise(F.col("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.where("kind != 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair, and a digest of what that leaves."""
+    from .conversations import repair
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair(damaged(given))
+    all_of = lambda df, tag: df.withColumnRenamed("conv_id", tag)
+    out = given.select("conv_id").distinct().join(all_of(done.found, "f"), F.col("conv_id").eqNullSafe(F.col("f")), "left")
+    out = out.join(all_of(done.digests(), "d"), F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found of every query vector."""
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_substring_dedup, op4_topk, op5_bpe, op6_packing, op7_pii, op8_warc, op9_quality, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_substring_dedup, op4_topk, op5_bpe, op6_packing, op7_pii, op8_warc, op9_quality, op10_embedding_dedup, op11_merkle, op12_conversation_repair, op13_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
