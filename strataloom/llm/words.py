@@ -6,31 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 
 _U = np.uint64
 BLOCK_BYTES = 250_000
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
-_BYTE = np.random.default_rng(20_11).integers(1, 2**64, 256, dtype=np.uint64)  # what each byte counts as
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-
-
-class _Powers:
-    """Powers of _P and of its inverse, as many as have been needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            for name, base in (("up", _P), ("down", pow(_P, -1, 2**64))):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
+_SPACE = frozenset((32, *range(9, 14)))
+_KEY = "strataloom words"  # 16 bytes, of the keyed hash (SipHash-2-4) of a word
+_STEP = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,15 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _hash_block(raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    text = b"\n".join(raw)
-    text = np.frombuffer(text.lower() if lower else text, dtype=np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[text].view(np.int8), prepend=1, append=1))
-    start, end = edge[0::2], edge[1::2]
-    up, down = _POWERS(len(text) + 1)
-    total = np.zeros(len(text) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[text] * up[: len(text)], out=total[1:])
-    first = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    return mix((total[end] - total[start]) * down[start]), np.diff(np.searchsorted(start, first))
+    words, counts = [], []
+    for r in raw:
+        here = (r.lower() if lower else r).split()
+        words += here
+        counts.append(len(here))
+    return hash_array(np.fromiter(words, dtype=object, count=len(words)), hash_key=_KEY, categorize=False), np.asarray(counts, dtype=np.int64)
 
 
 def _pieces(raw: bytes) -> list[bytes]:
@@ -61,7 +40,7 @@ def _pieces(raw: bytes) -> list[bytes]:
     out, at = [], 0
     while len(raw) - at > 2 * BLOCK_BYTES:
         end = at + BLOCK_BYTES
-        while end < len(raw) and not _SPACE[raw[end]]:
+        while end < len(raw) and raw[end] not in _SPACE:
             end += 1
         out.append(raw[at:end])
         at = end
@@ -71,8 +50,7 @@ def _pieces(raw: bytes) -> list[bytes]:
 def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Stable 64-bit hash of every word (bytes between ASCII white space) of all texts in turn, and the number of words of each.
 
-    A word's hash is a polynomial in what its bytes count as, modulo 2^64, from sums over blocks of text; with ``lower``
-    A to Z count as a to z.
+    The hash is a keyed one, so no family of words collides by its form; with ``lower`` A to Z count as a to z.
     """
     hashes, counts, first, block, size = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [], [], 0
     done = 0
@@ -97,9 +75,9 @@ def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    p, acc = _U(0x9E3779B97F4A7C15), np.zeros(n, dtype=np.uint64)
+    acc = np.zeros(n, dtype=np.uint64)
     for i in range(k):
-        acc = acc * p + h[i : i + n]
+        acc = (acc ^ (acc >> _U(29))) * _U(_STEP) + h[i : i + n]
     return mix(acc + _U(k))
 
 

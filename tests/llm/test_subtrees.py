@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 from strataloom.llm import substring_dedup as S
-from strataloom.llm.words import word_hashes
+from strataloom.llm.ngram_join import ngram_join
+from strataloom.llm.words import sequence_hashes, word_hashes
 from tests.llm import brute
 
 
@@ -99,3 +100,25 @@ def test_word_hashes_tell_words_apart():
     long = " ".join(f"w{i % 999}" for i in range(700_000)) + " " + "z" * 2_500_000 + " end"
     h, n = word_hashes(["a", long, "b end"])
     assert n.tolist() == [1, 700_002, 2] and h[1] == h[1 + 999 * 600] and h[-1] == h[-3] and len(set(h.tolist())) == 999 + 4
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that a polynomial hash modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_and_runs_made_to_collide(spark, n):
+    a, b = thue_morse(n)
+    h, _ = word_hashes([f"{a} {b}"])
+    assert h[0] != h[1]
+    runs = [" ".join({"a": "yes", "b": "no"}[c] for c in t[:16]) for t in (a, b)]
+    x, y = (sequence_hashes(word_hashes([r])[0], 16) for r in runs)
+    assert x != y
+    before = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{before} {a}"), (2, f"{before} {b}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in S.substring_dedup(docs).collect()] == [0, 0]
+    docs = spark.createDataFrame([(1, f"{a} x y z t"), (2, f"{b} x y z t"), (3, f"{a} x y z t {b} x y z t")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (6, 3)}
