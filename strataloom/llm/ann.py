@@ -296,8 +296,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFra
 
     Scores are exact, ties go to the smaller vec_id; neighbours may be missed, at least 0.9 are found on average. Vectors
     that are null, empty, zero or hold null or non-finite components, and null ids, take no part; only vectors of equal
-    length meet. Rows that repeat a vec_id are one vector if equal, else candidates of their own, and the query is the least
-    of them; a query never finds its own id. Fewer candidates than k are all found. Other columns are not looked at. No
+    length meet. Rows that repeat a vec_id are one vector if equal, else candidates of their own, and the query is the one
+    whose packed bytes are least; a query never finds its own id. Fewer candidates than k are all found. Other columns are not looked at. No
     rows, no result.
     """
     index = Index(vectors, k)

@@ -138,4 +138,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .twins import SQL
+
+    return SQL

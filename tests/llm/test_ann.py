@@ -85,5 +85,5 @@ def test_edges(spark):
     rows = [(0, v), (0, v), (20, [0.0, 0.0, 0.0]), (40, None), (60, [1.0, None, 2.0]), (80, [float("nan"), 1.0, 1.0]), (None, v), (3, v), (2, v), (5, [1.0]), (100, [2.0]), (7, [-1.0, 0.0, 0.0]), (0, [9.0, 0.0, 0.0])]
     df = spark.createDataFrame([(i, e, "x", 1) for i, e in rows], "vec_id long, embedding array<double>, list string, dim int")
     got = found(ann.nearest(df).collect())
-    assert got == {0: [(2, 1.25, 1), (3, 1.25, 2), (7, -1.0, 3)], 100: [(5, 2.0, 1)]}
+    assert got == {0: [(2, 9.0, 1), (3, 9.0, 2), (7, -9.0, 3)], 100: [(5, 2.0, 1)]}
     assert ann.nearest(df.where("vec_id > 1000")).collect() == []
