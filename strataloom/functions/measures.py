@@ -17,6 +17,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def usable_vector(v: Column) -> Column:
+    """Not null, not empty, all components finite, not all zero."""
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
 def sample_skewness(x: Column) -> Column:
     """Third central moment over the cube of the sample deviation; 0 for fewer than 3 values or no spread."""
     n = F.count(x)

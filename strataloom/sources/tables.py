@@ -39,3 +39,34 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Cuts:
+    """Written cut points of one operator, removed together once what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        """As ``written``, but kept in mind for ``clear``."""
+        self.paths.append(f"{scratch(self.spark)}/{tag}-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        """Removes the files, through Spark's own file systems."""
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, through Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def versions(df: DataFrame) -> tuple:
+    """The files behind ``df`` with their sizes and times: another tuple once one is written anew."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("double").alias("at")).distinct()
+    return tuple(sorted(tuple(r) for r in files.collect()))
