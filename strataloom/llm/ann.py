@@ -122,25 +122,25 @@ class Candidates:
         """Pairs (query, row) that no test has ruled out."""
         x, xn = self.turned[rows], self.norm[rows]
         radius = np.maximum(norm[:, None] + xn[None, :] - 2 * t[:, None], 0)  # infinite where there is no threshold yet
-        i = j = part = None
+        part, open_, i = np.zeros(radius.shape), np.ones(radius.shape, dtype=bool), None
         for a, b in zip(self.edges, self.edges[1:]):
             qd, xd = q[:, a:b], x[:, a:b]
-            if i is None or len(i) > len(q) * len(x) // 8:  # most are still in: one product for all
-                more = (qd * qd).sum(axis=1)[:, None] + (xd * xd).sum(axis=1)[None, :] - 2 * (qd @ xd.T)
-                self.read += more.size * (b - a)
-                part = more if i is None else part + more[i, j]
+            if i is None:  # many are still in: one product for all
+                part += (qd * qd).sum(axis=1)[:, None] + (xd * xd).sum(axis=1)[None, :] - 2 * (qd @ xd.T)
+                self.read += part.size * (b - a)
             else:
+                part += ((qd[i] - xd[j]) ** 2).sum(axis=1)
                 self.read += len(i) * (b - a)
-                part = part + ((qd[i] - xd[j]) ** 2).sum(axis=1)
-            if b < self.dim:  # reject: the whole distance, judged by the part, is beyond the radius
-                near = part * (self.dim / b) <= (1 + EPSILON / np.sqrt(b)) ** 2 * (radius if i is None else radius[i, j])
-                if i is None:
-                    i, j = np.nonzero(near)
-                    part = part[near]
-                else:
-                    i, j, part = i[near], j[near], part[near]
-            elif i is None:
-                i, j = (v.ravel() for v in np.indices(part.shape))
+            # Reject: the whole distance, judged by the part, is beyond the radius. At the end nothing is left to judge.
+            wide = (1 + EPSILON / np.sqrt(b)) ** 2 * (b / self.dim) if b < self.dim else 1 + 1e-9
+            near = part <= wide * radius + 1e-12
+            if i is None:
+                open_ &= near
+                if np.count_nonzero(open_) < open_.size // 8 or b == self.dim:
+                    i, j = np.nonzero(open_)
+                    part, radius = part[i, j], radius[i, j]
+            else:
+                i, j, part, radius = i[near], j[near], part[near], radius[near]
         return i, j
 
     def _add(self, held, own, q, i, j, t, k):
