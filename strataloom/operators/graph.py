@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.sources.tables import written
+from strataloom.sources.tables import Cuts, written
 
 
 def coupling(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
@@ -79,15 +79,29 @@ def cap_edges(edges: DataFrame, cap: int) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node reachable without regard to direction; labels jump until none changes."""
-    both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src is not null and dst is not null").distinct(), "cc-edges")
-    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "cc-labels")
+    """(node, component): the smallest node reachable without regard to direction.
+
+    In each round every node points to its smallest neighbour, pointers are followed twice, and the edges are contracted to
+    those between different targets, so they shrink from round to round; the pointers of all rounds together are the result.
+    """
+    cuts = Cuts(edges.sparkSession)
+    e = edges.where("src is not null and dst is not null").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
+    e = cuts.written(e, "cc-edges")
+    labels = e.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().withColumn("component", F.col("node"))
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        fresh = labels.join(near, "node", "left").join(jump, "component", "left").select("node", F.least("component", "near", "far").alias("new"), F.col("component").alias("old"))
-        fresh = written(fresh, "cc-labels")
-        labels = fresh.select("node", F.col("new").alias("component"))
-        if fresh.where("new != old").isEmpty():
-            return labels
+        e = e.where("hi != lo")
+        if e.isEmpty():
+            out = written(labels, "cc-labels")
+            cuts.clear()
+            return out
+        ends = e.select(F.col("hi").alias("at"), F.col("lo").alias("to")).unionByName(e.select(F.col("lo").alias("at"), F.col("hi").alias("to")))
+        point = cuts.written(ends.groupBy("at").agg(F.min("to").alias("to")).select("at", F.least("at", "to").alias("to")), "cc-points")
+        for _ in range(2):
+            point = point.join(point.select(F.col("at").alias("to"), F.col("to").alias("next")), "to").select("at", F.col("next").alias("to"))
+        point = cuts.written(point, "cc-points")
+        labels = labels.join(point.withColumnRenamed("at", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        labels = cuts.written(labels, "cc-labels")
+        for end in ("hi", "lo"):
+            e = e.join(point.withColumnRenamed("at", end), end).withColumn(end, F.col("to")).drop("to")
+        e = cuts.written(e.where("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), "cc-edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

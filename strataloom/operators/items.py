@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.measures import cosine
+from strataloom.functions.measures import cosine, usable_vector
+from strataloom.operators.linkage import ordered_clusters
+from strataloom.operators.vector_index import VectorIndex
+from strataloom.sources.tables import remove, scratch
 
 #: How much a source is trusted, by its kind and by whether its contents are hashed.
 PROVENANCE = {("doc", True): 1.0, ("doc", False): 0.7, ("tool", True): 0.8, ("tool", False): 0.5, ("mixed", True): 0.6, ("mixed", False): 0.4, ("chat", True): 0.5, ("chat", False): 0.2}
@@ -83,13 +87,30 @@ def merge_confidence(items: DataFrame, cluster: str, now: str) -> DataFrame:
     return one.join(tags, cluster, "left").select(cluster, "items", F.greatest(F.lit(0.0), F.least(F.lit(1.0), blend)).alias("confidence"))
 
 
+def near_pairs(items: DataFrame, most_distance: float = 0.3) -> DataFrame:
+    """(a, b) of items (id, kind, first_tag, embedding) of one type and first tag whose vectors are at most ``most_distance`` apart; a < b.
+
+    Near vectors come from a kept index, so no pairs are made but those that are near.
+    """
+    spark = items.sparkSession
+    rows = items.select(F.concat_ws(":", "kind", F.lower("first_tag")).alias("key"), F.col("id").cast("long").alias("id"), "embedding").where("id is not null")
+    index = VectorIndex.build(rows, f"{scratch(spark)}/item-vectors-{uuid.uuid4().hex}", "id", "embedding")
+    near = index.near(rows, 1.0 - most_distance, vec_id="id")
+    remove(spark, index.path)
+    key = lambda end: rows.select(F.col("id").alias(end), F.col("key").alias(f"k{end}")).distinct()
+    pairs = near.select(F.col("query_id").alias("a"), F.col("id").alias("b")).where("a < b")
+    return pairs.join(key("a"), "a").join(key("b"), "b").where("ka = kb").select("a", "b").distinct()
+
+
 def clusters_by_type(items: DataFrame, most_distance: float = 0.3) -> DataFrame:
-    """(a, b) of items (id, kind, first_tag, embedding) of one type and first tag whose vectors are at most ``most_distance`` apart.
+    """(id, cluster) of items (id, kind, first_tag, embedding), ``cluster`` being the item that founded it.
 
-    Pairs are looked for within a type and tag only; their connected parts are the clusters.
+    Items of one type and first tag are taken by id; one that is in no cluster founds one and takes in all later free ones
+    whose vectors are at most ``most_distance`` away. An item without a usable vector is alone, but a type and tag of which
+    no item has one is one cluster. Null ids take no part, rows that repeat an id are one item.
     """
-    key = F.concat_ws(":", "kind", F.lower("first_tag")).alias("key")
-    rows = items.where("embedding is not null").select(key, "id", "embedding")
-    a = rows.select("key", F.col("id").alias("a"), F.col("embedding").alias("x"))
-    b = rows.select("key", F.col("id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (cosine(F.col("x"), F.col("y")) >= 1.0 - most_distance)).select("a", "b")
+    rows = items.select(F.concat_ws(":", "kind", F.lower("first_tag")).alias("key"), F.col("id").cast("long").alias("id"), "embedding").where("id is not null")
+    found = ordered_clusters(rows.select(F.col("id").alias("node"), F.col("id").alias("place")).distinct(), near_pairs(items, most_distance))
+    bare = rows.groupBy("key").agg(F.count_if(usable_vector(F.col("embedding"))).alias("n"), F.min("id").alias("first")).where("n = 0")
+    whole = rows.select("id", "key").join(bare, "key").groupBy("id").agg(F.min("first").alias("first"))
+    return found.withColumnRenamed("node", "id").join(whole, "id", "left").select("id", F.coalesce("first", "leader").alias("cluster"))

@@ -77,8 +77,8 @@ def _assigned(names: np.ndarray, centroids: np.ndarray):
     return run
 
 
-def _wanted(names, centroids, radius, sizes, k: int):
-    """(id, vector, cell) to read: the first ones while there is no ``bound``, else the others that may hold something nearer."""
+def _wanted(names, centroids, radius, sizes, k: int, within: float | None = None):
+    """(id, vector, cell) to read: the first ones while there is no ``bound``, else the others that may hold something nearer; or all that may ``within`` a distance."""
 
     def run(batches):
         for batch in batches:
@@ -90,7 +90,9 @@ def _wanted(names, centroids, radius, sizes, k: int):
             held = np.cumsum(sizes[order], axis=1)
             first = np.maximum(FIRST, (held < k + 1).sum(axis=1) + 1)  # cells that hold k other rows
             place = np.argsort(order, axis=1)
-            if "bound" in batch.schema.names:
+            if within is not None:
+                take = d - radius[None, :] <= within + SLACK
+            elif "bound" in batch.schema.names:
                 bound = np.asarray([np.inf if b is None else b for b in batch.column("bound").to_pylist()])
                 take = (place >= first[:, None]) & (d - radius[None, :] <= bound[:, None] + SLACK)
             else:
@@ -112,8 +114,8 @@ def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return both / np.sqrt(qq * xx)
 
 
-def _compared(k: int):
-    """Of each (cell, block) the rows first, then its queries in chunks; the best k of each query."""
+def _compared(k: int | None, least_score: float | None = None):
+    """Of each (cell, block) the rows first, then its queries in chunks; the best k of each query, or all from a score on."""
 
     def hits(own, q, ids, x):
         q, near = _rows_of(q), None
@@ -121,10 +123,14 @@ def _compared(k: int):
         out = []
         for a, query in enumerate(own):
             at = np.flatnonzero(ids != query)
-            if len(at) > k:
+            if least_score is not None:
+                at = at[s[a, at] >= least_score - SLACK]
+            if k and len(at) > k:
                 least = np.partition(s[a, at], len(at) - k)[len(at) - k]
                 at = at[s[a, at] >= least - SLACK]
             near = _cosines(np.repeat(q[a : a + 1], len(at), axis=0), x[at])
+            if least_score is not None:
+                at, near = at[near >= least_score], near[near >= least_score]
             out += [(query, int(ids[at[b]]), float(near[b])) for b in np.lexsort((ids[at], -near))[:k]]
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["query_id", "id", "score"])
 
@@ -289,8 +295,10 @@ class VectorIndex:
         asked = queries.join(bounds, "id", "left") if bounds is not None else queries
         return asked.mapInArrow(_wanted(names, *figures, k), "id long, vec binary, cell int")
 
-    def _hits(self, asked: DataFrame, cells, k: int, where: Column | None) -> DataFrame:
+    def _hits(self, asked: DataFrame, cells, k: int | None, where: Column | None, least_score: float | None = None) -> DataFrame:
         only = {r["cell"] for r in asked.select("cell").distinct().collect()}  # at most all cells
+        if not only:
+            return self.spark.createDataFrame([], "query_id long, id long, score double")
         rows = self._read(cells, only)
         rows = rows.where(where) if where is not None else rows
         blocks = {n: max(1, -(-cells[n][2] // BLOCK)) for n in only}
@@ -298,7 +306,7 @@ class VectorIndex:
         rows = rows.select("cell", "id", "vec").join(plan, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "id", "vec")
         asks = asked.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "vec")
         met = rows.unionByName(asks).repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
-        return met.mapInArrow(_compared(k), "query_id long, id long, score double")
+        return met.mapInArrow(_compared(k, least_score), "query_id long, id long, score double")
 
     def search(self, queries: DataFrame, k: int = 10, where: Column | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """(query_id, rank, id, score): exactly the ``k`` nearest rows (of those with ``where``) of each query by cosine, never its own id.
@@ -321,3 +329,18 @@ class VectorIndex:
         got = written(got, "index-found")
         cuts.clear()
         return got
+
+    def near(self, queries: DataFrame, least_score: float, where: Column | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        """(query_id, id, score): exactly the rows of at least that cosine to each query, never its own id."""
+        cells = self._state()[0]
+        names = np.asarray(sorted(n for n, c in cells.items() if c[2]), np.int32)
+        if not len(names):
+            return self.spark.createDataFrame([], "query_id long, id long, score double")
+        figures = [np.asarray([cells[n][i] for n in names]) for i in range(3)]
+        within = float(np.sqrt(max(2 - 2 * least_score, 0.0)))
+        cuts = Cuts(self.spark)
+        asked = self._packed(queries.select(vec_id, vector), vec_id, vector).select("id", "vec")
+        asked = cuts.written(asked.mapInArrow(_wanted(names, *figures, 0, within), "id long, vec binary, cell int"), "index-needed")
+        got = written(self._hits(asked, cells, None, where, least_score), "index-near")
+        cuts.clear()
+        return got

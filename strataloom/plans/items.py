@@ -47,18 +47,26 @@ def merge_confidence(spark, sf):
     return I.merge_confidence(rows, "source", "2025-01-01 00:00:00").withColumn("confidence", F.round("confidence", 6))
 
 
+def _vector_items(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit("v").alias("kind"), F.concat(F.lit("L"), "label").alias("first_tag"), "embedding")
+
+
+def item_near_pairs(spark, sf):
+    return I.near_pairs(_vector_items(spark, sf), 0.7)
+
+
 def item_clusters(spark, sf):
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit("v").alias("kind"), F.concat(F.lit("L"), "label").alias("first_tag"), "embedding")
-    return I.clusters_by_type(rows, 0.7)
+    return I.clusters_by_type(_vector_items(spark, sf), 0.7)
 
 
-QUERIES = [list_items, search_by_tags, recall_search, item_importance, merge_confidence, item_clusters]
+QUERIES = [list_items, search_by_tags, recall_search, item_importance, merge_confidence, item_near_pairs, item_clusters]
 
 _KIND = lambda names: "([" + ", ".join(map(S.q, names)) + f"])[doc_id % {len(names)} + 1]"
 _ITEMS = f"""l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1),
 i AS (SELECT d.doc_id AS id, source, n_chars, list_filter([lang, source], lambda x: x IS NOT NULL) AS tags, text IS NOT NULL AS hashed, {_KIND(["doc", "tool", "mixed", "chat", "web"]).replace("doc_id", "d.doc_id")} AS kind, {_KIND([*I.TYPES, "other"]).replace("doc_id", "d.doc_id")} AS type,
  CASE q WHEN 1 THEN 'verified' WHEN 0 THEN 'contested' ELSE 'unverified' END AS validation, embedding FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 _ASK = "[" + ", ".join(S.q(t.lower()) for t in sorted({t.lower() for t in TAGS})) + "]"
+_NEAR = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 1.0::DOUBLE - 0.7::DOUBLE"
 SQL = {
     "list_items": "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang IN ('en', 'de') AND n_chars BETWEEN 500 AND 5000 ORDER BY n_chars DESC, doc_id LIMIT 50",
     "search_by_tags": f"WITH {_ITEMS} SELECT id, len(list_intersect(list_transform(tags, lambda x: lower(x)), {_ASK}))::INT AS hits FROM i WHERE hits > 0",
@@ -70,5 +78,10 @@ SELECT id, round(t, 6) AS tag_score, round(v, 6) AS vector_score, round(p, 6) AS
     "merge_confidence": f"""WITH {_ITEMS}, c AS (SELECT source, count(*) AS items, max((n_chars % 100) / 100::DOUBLE) AS most, max(n_chars % 365) AS day, bool_or(validation = 'verified') AS sure FROM i WHERE source IS NOT NULL GROUP BY 1),
 g AS (SELECT source, tag, count(*) AS n FROM (SELECT source, unnest(list_distinct(list_transform(tags, lambda x: lower(x)))) AS tag FROM i WHERE source IS NOT NULL) GROUP BY 1, 2), o AS (SELECT source, count(*) FILTER (n >= 2) / count(*)::DOUBLE AS overlap FROM g GROUP BY 1)
 SELECT source, items, round(0.3::DOUBLE * most + 0.3::DOUBLE * overlap + 0.2::DOUBLE * exp(-0.01::DOUBLE * (366 - day)) + 0.2::DOUBLE * CASE WHEN sure THEN 1.0 ELSE 0.5 END::DOUBLE, 6) AS confidence FROM c JOIN o USING (source)""",
-    "item_clusters": "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 1.0::DOUBLE - 0.7::DOUBLE",
+    "item_near_pairs": _NEAR,
+    "item_clusters": f"""WITH RECURSIVE p AS ({_NEAR}), o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+s(i, node, leader) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT UNION ALL
+ (SELECT i + 1, node, leader FROM s WHERE i < (SELECT count(*) FROM o) UNION ALL
+  SELECT o.i, o.vec_id, coalesce((SELECT min(s.node) FROM s JOIN p ON p.a = s.node WHERE p.b = o.vec_id AND s.node = s.leader), o.vec_id) FROM o JOIN (SELECT DISTINCT i FROM s) t ON o.i = t.i + 1))
+SELECT node AS id, leader AS cluster FROM s WHERE i = (SELECT count(*) FROM o) AND node IS NOT NULL""",
 }

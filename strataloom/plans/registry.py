@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, documents, items, markdown, memory, metrics, network, retrieval, scorecard, store, structure, vectors
+from . import alike, audit, clusters, documents, items, markdown, memory, metrics, network, retrieval, scorecard, store, structure, vectors
 
-MODULES = (retrieval, audit, memory, documents, structure, items, markdown, metrics, store, scorecard, network, vectors)
+MODULES = (retrieval, audit, memory, documents, structure, items, markdown, metrics, store, scorecard, network, vectors, alike, clusters)
 
 
 def queries() -> dict:
