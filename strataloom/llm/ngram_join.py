@@ -350,40 +350,62 @@ def _closer(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
 
 
-def _apart(batches):
-    """Pairs of different components, in one pair of blocks of a list, that may link; rows come sorted by list, pair of blocks and side."""
+def _apart(closest: bool):
+    """Pairs of different components, in one pair of blocks of a list, that may link; of each two components all, or the ``closest`` one that is met.
+
+    Rows come sorted by list, pair of blocks and side.
+    """
 
     def compare(rows: pa.Table):
         group = np.cumsum(np.concatenate([[0], np.any([np.diff(rows.column(c).to_numpy()) != 0 for c in ("list_id", "bi", "bj")], axis=0)]))
         side, doc, comp, n, bi, bj = (rows.column(c).to_numpy() for c in ("side", "doc_id", "component", "n", "bi", "bj"))
         bits = np.frombuffer(b"".join(x[: BINS // 8] for x in rows.column("sketch").to_pylist()), np.uint64).reshape(len(group), -1)
-        pairs, left, step = [np.zeros((0, 2), dtype=np.int64)], np.arange(len(group)), 1
+        pairs, left, step = [np.zeros((0, 3), dtype=np.int64)], np.arange(len(group)), 1
         while len(left := left[left + step < len(group)]) and len(left := left[group[left] == group[left + step]]):
             right = left + step
             ok = (comp[left] != comp[right]) & ((bi[left] == bj[left]) | (side[left] != side[right])) & (4 * n[left] >= 3 * n[right]) & (4 * n[right] >= 3 * n[left])
             a, b = left[ok], right[ok]
-            near = 7 * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b]
-            pairs.append(np.stack([a[near], b[near]], axis=1))
+            far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            near = 7 * far <= n[a] + n[b]
+            pairs.append(np.stack([a[near], b[near], far[near]], axis=1))
             step += 1
+        pairs = np.concatenate(pairs)
+        if closest and len(pairs):
+            _, at = np.unique(comp, return_inverse=True)
+            two = np.sort(at[pairs[:, :2]], axis=1)
+            order = np.lexsort((pairs[:, 2], two[:, 1], two[:, 0]))
+            pairs = pairs[order[np.flatnonzero(np.concatenate([[True], np.any(np.diff(two[order], axis=0) != 0, axis=1)]))]]
         ids, at = np.unique(doc, return_inverse=True)
-        both = np.sort(at[np.concatenate(pairs)], axis=1)
+        both = np.sort(at[pairs[:, :2]], axis=1)
         both = np.unique(both[:, 0] * len(ids) + both[:, 1])  # each pair of documents once, whatever the number of their lists
         return pa.RecordBatch.from_arrays([pa.array(ids[both // max(len(ids), 1)]), pa.array(ids[both % max(len(ids), 1)])], names=["a", "b"])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < 8 * BLOCK:
-            continue
-        rows = pa.Table.from_batches(held)
-        keys = [rows.column(c).to_numpy() for c in ("list_id", "bi", "bj")]
-        cut = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))  # the last group may go on
-        end = int(cut[-1]) + 1 if len(cut) else 0
-        if end:
-            yield compare(rows.slice(0, end))
-        held = rows.slice(end).to_batches()
-    if held:
-        yield compare(pa.Table.from_batches(held))
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 8 * BLOCK:
+                continue
+            rows = pa.Table.from_batches(held)
+            keys = [rows.column(c).to_numpy() for c in ("list_id", "bi", "bj")]
+            cut = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))  # the last group may go on
+            end = int(cut[-1]) + 1 if len(cut) else 0
+            if end:
+                yield compare(rows.slice(0, end))
+            held = rows.slice(end).to_batches()
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return run
+
+
+def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (id, component) with further links (a, b): those of the components that the links join, put in their place."""
+    of = lambda end: comp.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = components(between)
+    moved = comp.join(up.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    return moved.unionByName(up.join(comp.select("id"), "id", "left_anti"))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -432,19 +454,21 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     links = cuts.written(verified(closer(star, "ngram-near")).unionByName(copies), "ngram-links")
     comp = components(links)
 
-    # Then members of one list in different components, in pairs of blocks where the list is long.
-    labelled = member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = labelled.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 != c1 and m > 2")
-    open_ = open_.select("list_id", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    left = cuts.written(labelled.join(open_, "list_id").select("list_id", "nb", "doc_id", "component").distinct(), "ngram-open")
+    # Then members of one list in different components, in pairs of blocks where the list is long: first the closest pair of each
+    # two components, which joins most of what belongs together, then all pairs of what is still apart.
     bits = sketches.select("doc_id", "n", F.substring("sketch", 1, BINS // 8).alias("sketch"))
-    left = left.join(bits, "doc_id").withColumn("x", F.pmod(F.xxhash64("doc_id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    left = left.select("list_id", F.least("x", "o").alias("bi"), F.greatest("x", "o").alias("bj"), (F.col("x") > F.col("o")).cast("int").alias("side"), "doc_id", "component", "n", "sketch")
-    left = left.repartition(buckets, "list_id", "bi", "bj").sortWithinPartitions("list_id", "bi", "bj", "side")
-    cross = left.mapInArrow(_apart, "a long, b long").distinct()
-    more = cuts.written(verified(closer(cross, "ngram-apart")), "ngram-more")
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
+    for closest in (True, False):
+        labelled = member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        open_ = labelled.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 != c1 and m > 2")
+        open_ = open_.select("list_id", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+        left = cuts.written(labelled.join(open_, "list_id").select("list_id", "nb", "doc_id", "component").distinct(), "ngram-open")
+        left = left.join(bits, "doc_id").withColumn("x", F.pmod(F.xxhash64("doc_id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        left = left.select("list_id", F.least("x", "o").alias("bi"), F.greatest("x", "o").alias("bj"), (F.col("x") > F.col("o")).cast("int").alias("side"), "doc_id", "component", "n", "sketch")
+        left = left.repartition(buckets, "list_id", "bi", "bj").sortWithinPartitions("list_id", "bi", "bj", "side")
+        cross = left.mapInArrow(_apart(closest), "a long, b long").distinct()
+        more = cuts.written(verified(closer(cross, "ngram-apart")), "ngram-more")
+        if not more.isEmpty():
+            comp = cuts.written(_joined(comp, more), "ngram-components")
     got = info.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     got = written(got.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "ngram-out")
     common.destroy()
