@@ -39,6 +39,7 @@ BLOCK = 2_048  # members of a list that are compared in one task
 ENTRIES = 4_000_000  # signatures in a bucket
 BINS = 1024  # of a sketch
 LARGE = 512  # features above which a sketch holds counts, not only their parities
+COARSE = 256  # bins of the counts by which members of a list are compared
 FEW_IDS = 2_000_000  # document ids that are broadcast (16 bytes each); more are joined by a shuffle of the texts
 COUNTERS = 2**21  # size of the table of feature counts, whatever the input
 SLICE = 2**16
@@ -52,7 +53,7 @@ _U = np.uint64
 _TAG = np.dtype([("id", "<i8"), ("tag", "<u4")])
 _SIG = np.dtype([("low", "<u4"), ("high", "u1"), ("doc", "<u2")])
 
-_SET_SCHEMA = "doc_id long, n_shingles long, digest binary, sketch binary, slice int, counts binary"
+_SET_SCHEMA = "doc_id long, n_shingles long, digest binary, sketch binary, coarse binary, slice int, counts binary"
 _SIG_SCHEMA = "bucket long, docs binary, sigs binary"
 _LIST_SCHEMA = "list_id long, members array<long>"
 
@@ -167,6 +168,13 @@ def sketch(features: np.ndarray) -> bytes:
     return bits + np.minimum(counts, 255).astype(np.uint8).tobytes() if len(features) > LARGE else bits
 
 
+def coarse(features: np.ndarray) -> bytes:
+    """Of large sets the counts in fewer bins (up to 255), which differ by no more; of others nothing."""
+    if len(features) <= LARGE:
+        return b""
+    return np.minimum(np.bincount((features >> _U(7)).astype(np.int64) & (COARSE - 1), minlength=COARSE), 255).astype(np.uint8).tobytes()
+
+
 def may_link(n: np.ndarray, sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) of sets may link: sizes within 4/3, and no more than a 7th of the features certain to differ."""
     ok = np.flatnonzero((4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i]))
@@ -187,18 +195,18 @@ def _slices(x: np.ndarray, size: int = 2048):
 
 def _measure(batches):
     """Size, digest and sketch of every document's set, and at the end how many documents of the partition hold a feature of each counter, in slices."""
-    names = ["doc_id", "n_shingles", "digest", "sketch", "slice", "counts"]
+    names = ["doc_id", "n_shingles", "digest", "sketch", "coarse", "slice", "counts"]
     total = np.zeros(COUNTERS, dtype=np.uint32)
     for ids, texts in chunks(batches, 2, CHUNK_CHARS):
         sets = shingle_sets(texts)
         np.add.at(total, ((np.concatenate(sets) >> _U(40)) & _U(COUNTERS - 1)).astype(np.int32), np.uint32(1))
         n = len(ids)
-        own = [[digest(s) if len(s) else None for s in sets], [sketch(s) if len(s) else None for s in sets]]
+        own = [[make(s) if len(s) else None for s in sets] for make in (digest, sketch, coarse)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in own), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if total.any():
         n = COUNTERS // SLICE
         rows = [np.minimum(total[i : i + SLICE], 65535).astype("<u2").tobytes() for i in range(0, COUNTERS, SLICE)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(rows, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.binary()) for _ in range(3)), pa.array(range(n), pa.int32()), pa.array(rows, pa.binary())], names=names)
 
 
 def _sum_counts(batches):
@@ -359,7 +367,11 @@ def _apart(closest: bool):
     def compare(rows: pa.Table):
         group = np.cumsum(np.concatenate([[0], np.any([np.diff(rows.column(c).to_numpy()) != 0 for c in ("list_id", "bi", "bj")], axis=0)]))
         side, doc, comp, n, bi, bj = (rows.column(c).to_numpy() for c in ("side", "doc_id", "component", "n", "bi", "bj"))
-        bits = np.frombuffer(b"".join(x[: BINS // 8] for x in rows.column("sketch").to_pylist()), np.uint64).reshape(len(group), -1)
+        sketches = rows.column("sketch").to_pylist()
+        bits = np.frombuffer(b"".join(x[: BINS // 8] for x in sketches), np.uint64).reshape(len(group), -1)
+        large = np.asarray([len(x) > BINS // 8 for x in sketches])
+        place = np.cumsum(large) - 1
+        counts = np.frombuffer(b"".join(x[BINS // 8 :] for x in sketches), np.uint8).reshape(-1, COARSE)
         pairs, left, step = [np.zeros((0, 3), dtype=np.int64)], np.arange(len(group)), 1
         while len(left := left[left + step < len(group)]) and len(left := left[group[left] == group[left + step]]):
             right = left + step
@@ -367,6 +379,10 @@ def _apart(closest: bool):
             a, b = left[ok], right[ok]
             far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
             near = 7 * far <= n[a] + n[b]
+            both = np.flatnonzero(near & large[a] & large[b])  # parities say nothing of them
+            for k in _slices(both):
+                apart = np.abs(counts[place[a[k]]].astype(np.int16) - counts[place[b[k]]]).sum(axis=1, dtype=np.int64)
+                far[k], near[k] = np.maximum(far[k], apart), 7 * apart <= n[a[k]] + n[b[k]]
             pairs.append(np.stack([a[near], b[near], far[near]], axis=1))
             step += 1
         pairs = np.concatenate(pairs)
@@ -421,7 +437,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     measured = cuts.written(base.mapInArrow(_measure, _SET_SCHEMA), "ngram-sets")
     info = measured.where("slice is null").select("doc_id", "n_shingles", "digest")
-    sketches = measured.where("digest is not null and doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "sketch")
+    sketches = measured.where("digest is not null and doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "sketch", "coarse")
     counted, features = commonness(measured)
     common = spark.sparkContext.broadcast(counted)  # of fixed size
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-features // ENTRIES), 1)
@@ -456,7 +472,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     # Then members of one list in different components, in pairs of blocks where the list is long: first the closest pair of each
     # two components, which joins most of what belongs together, then all pairs of what is still apart.
-    bits = sketches.select("doc_id", "n", F.substring("sketch", 1, BINS // 8).alias("sketch"))
+    bits = sketches.select("doc_id", "n", F.concat(F.substring("sketch", 1, BINS // 8), "coarse").alias("sketch"))
     for closest in (True, False):
         labelled = member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         open_ = labelled.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 != c1 and m > 2")
