@@ -102,15 +102,17 @@ def near_pairs(items: DataFrame, most_distance: float = 0.3) -> DataFrame:
     return pairs.join(key("a"), "a").join(key("b"), "b").where("ka = kb").select("a", "b").distinct()
 
 
-def clusters_by_type(items: DataFrame, most_distance: float = 0.3) -> DataFrame:
+def clusters_by_type(items: DataFrame, most_distance: float = 0.3, bare: bool = True) -> DataFrame:
     """(id, cluster) of items (id, kind, first_tag, embedding), ``cluster`` being the item that founded it.
 
     Items of one type and first tag are taken by id; one that is in no cluster founds one and takes in all later free ones
-    whose vectors are at most ``most_distance`` away. An item without a usable vector is alone, but a type and tag of which
-    no item has one is one cluster. Null ids take no part, rows that repeat an id are one item.
+    whose vectors are at most ``most_distance`` away. An item without a usable vector is alone, but with ``bare`` a type and
+    tag of which no item has one is one cluster. Null ids take no part, rows that repeat an id are one item.
     """
     rows = items.select(F.concat_ws(":", "kind", F.lower("first_tag")).alias("key"), F.col("id").cast("long").alias("id"), "embedding").where("id is not null")
     found = ordered_clusters(rows.select(F.col("id").alias("node"), F.col("id").alias("place")).distinct(), near_pairs(items, most_distance))
-    bare = rows.groupBy("key").agg(F.count_if(usable_vector(F.col("embedding"))).alias("n"), F.min("id").alias("first")).where("n = 0")
-    whole = rows.select("id", "key").join(bare, "key").groupBy("id").agg(F.min("first").alias("first"))
+    if not bare:
+        return found.select(F.col("node").alias("id"), F.col("leader").alias("cluster"))
+    keys = rows.groupBy("key").agg(F.count_if(usable_vector(F.col("embedding"))).alias("n"), F.min("id").alias("first")).where("n = 0")
+    whole = rows.select("id", "key").join(keys, "key").groupBy("id").agg(F.min("first").alias("first"))
     return found.withColumnRenamed("node", "id").join(whole, "id", "left").select("id", F.coalesce("first", "leader").alias("cluster"))

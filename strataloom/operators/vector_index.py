@@ -210,14 +210,18 @@ class VectorIndex:
         """A new index with ``rows`` as its first batch; the square root of their number as cells, if not told."""
         self = cls(rows.sparkSession, path)
         good = self._packed(rows, vec_id, vector)
+        self.spark.createDataFrame([(_stored(good).json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/schema")
+        return self._commit(self._trained(good, cells), [batch], 1)
+
+    def _trained(self, good: DataFrame, cells: int | None = None) -> dict[int, tuple]:
+        """Cells of the first rows there are; none without rows."""
         n = good.count()
+        if not n:
+            return {}
         drawn = good.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vec").collect()
-        x = _unit(_rows_of([r["vec"] for r in drawn])) if drawn else np.zeros((1, 1))
-        centroids = train(x, cells or min(CELLS, round(n**0.5)))
-        self.spark.createDataFrame([(_stored(good).json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/schema")
+        centroids = train(_unit(_rows_of([r["vec"] for r in drawn])), cells or min(CELLS, round(n**0.5)))
         got = self._store(good, np.arange(len(centroids), dtype=np.int32), centroids)
-        empty = {i: (c.tolist(), 0.0, 0, []) for i, c in enumerate(centroids)}
-        return self._commit(empty | {i: (centroids[i].tolist(), *s) for i, s in got.items()}, [batch], 1)
+        return {i: (c.tolist(), *got.get(i, (0.0, 0, []))) for i, c in enumerate(centroids)}
 
     def _packed(self, rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
         other = [F.col(f"`{c}`") for c in rows.columns if c not in (vec_id, vector, "id", "vec", "cell", "far", "in_cell")]
@@ -241,6 +245,8 @@ class VectorIndex:
             return self
         fresh = self._packed(rows, vec_id, vector).join(self._read(cells).select("id"), "id", "left_anti")
         fresh = fresh.select(*[c for c in self._read(cells).columns if c not in ("cell", "far")])
+        if not cells:
+            return self._commit(self._trained(fresh), [*batches, batch], version + 1)
         names = np.asarray(sorted(cells), np.int32)
         for n, (radius, size, folders) in self._store(fresh, names, np.asarray([cells[c][0] for c in names])).items():
             c, r, s, f = cells[n]

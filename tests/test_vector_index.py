@@ -75,5 +75,6 @@ def test_edges(spark, tmp_path):
     assert got == [(1, 1, 2, 1.0), (1, 2, 7, -1.0), (2, 1, 1, 1.0), (2, 2, 7, -1.0), (7, 1, 1, -1.0), (7, 2, 2, -1.0)]
     none = VectorIndex.build(df.limit(0), str(tmp_path / "n"))
     assert none.search(df, 3).collect() == [] and none.rows().collect() == []
+    assert none.append(df, "later").rows().count() == 3  # trained on the first rows there are
     index.delete(df.select(F.col("vec_id").alias("id")))
     assert index.search(df, 3).collect() == []
