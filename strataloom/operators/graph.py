@@ -53,10 +53,12 @@ def reachable(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
 def propagation_factor(edges: DataFrame) -> DataFrame:
     """Share of all nodes that each node reaches along the edges (itself not counted)."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
+    from strataloom.operators.cycles import reach
+
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
     total = nodes.count()
-    reach = reachable(edges).where("src != dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("reached"))
-    return nodes.join(reach, "node", "left").select("node", F.coalesce("reached", F.lit(0)).alias("reached"), (F.coalesce("reached", F.lit(0)) / F.lit(max(total, 1))).alias("factor"))
+    far = F.coalesce("reached", F.lit(0))
+    return nodes.join(reach(edges), "node", "left").select("node", far.alias("reached"), (far / F.lit(max(total, 1))).alias("factor"))
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:

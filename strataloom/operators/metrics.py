@@ -67,9 +67,7 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 
 def cyclic_groups(edges: DataFrame) -> DataFrame:
     """(node, cycle): nodes on a directed cycle, and the smallest node of their strongly connected part."""
-    r = reachable(edges)
-    both = r.join(r.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    return both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("cycle"))
+    return on_cycles(edges)
 
 
 def unused_imports(imports: DataFrame, uses: DataFrame) -> DataFrame:
