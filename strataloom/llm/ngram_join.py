@@ -415,6 +415,17 @@ def _apart(closest: bool):
     return run
 
 
+def _alike_lists(rows: DataFrame) -> DataFrame:
+    """Members of lists (list_id, m, pivot, doc_id, component), lists of one smallest member as one if they hold much the same members.
+
+    A group of copies gives many such lists; together they have at most twice the members of the largest, so as one they are
+    fewer pairs, and each pair is met once.
+    """
+    of = rows.groupBy("pivot").agg(F.countDistinct("doc_id").alias("all"), F.max("m").alias("most"), F.countDistinct("list_id").alias("lists")).where("lists > 1 and all <= 2 * most")
+    both = rows.join(of.select("pivot", "all"), "pivot", "left")
+    return both.select(F.when(F.col("all").isNotNull(), F.xxhash64("pivot")).otherwise(F.col("list_id")).alias("list_id"), F.coalesce("all", "m").alias("m"), "doc_id", "component")
+
+
 def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
     """Components (id, component) with further links (a, b): those of the components that the links join, put in their place."""
     of = lambda end: comp.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
@@ -475,9 +486,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     bits = sketches.select("doc_id", "n", F.concat(F.substring("sketch", 1, BINS // 8), "coarse").alias("sketch"))
     for closest in (True, False):
         labelled = member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_ = labelled.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 != c1 and m > 2")
-        open_ = open_.select("list_id", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-        left = cuts.written(labelled.join(open_, "list_id").select("list_id", "nb", "doc_id", "component").distinct(), "ngram-open")
+        open_ = labelled.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"), F.min("doc_id").alias("pivot")).where("c0 != c1 and m > 2")
+        rows = cuts.written(labelled.join(open_.select("list_id", "m", "pivot"), "list_id").select("list_id", "m", "pivot", "doc_id", "component").distinct(), "ngram-open")
+        left = _alike_lists(rows).select("list_id", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), "doc_id", "component").distinct()
         left = left.join(bits, "doc_id").withColumn("x", F.pmod(F.xxhash64("doc_id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         left = left.select("list_id", F.least("x", "o").alias("bi"), F.greatest("x", "o").alias("bj"), (F.col("x") > F.col("o")).cast("int").alias("side"), "doc_id", "component", "n", "sketch")
         left = left.repartition(buckets, "list_id", "bi", "bj").sortWithinPartitions("list_id", "bi", "bj", "side")
