@@ -123,13 +123,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Trees(bias, roots, feature, threshold, left, value, depth)
 
 
-def _matrix(texts: list) -> np.ndarray:
-    return np.asarray([statistics(t or "") for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
+def _matrix(texts: pa.Array) -> np.ndarray:
+    """Statistics of each text; texts are unpacked one at a time."""
+    return np.asarray([statistics(t.as_py() or "") for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
 
 
 def _measure(batches):
     for batch in batches:
-        x = _matrix(batch.column(2).to_pylist())
+        x = _matrix(batch.column(2))
         stats = pa.ListArray.from_arrays(pa.array(range(0, x.size + 1, len(FEATURES)), pa.int32()), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), stats], names=["doc_id", "y", "stats"])
 
@@ -168,7 +169,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, with
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1).to_pylist())))], names=["_row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], names=["_row", "score"])
 
     scored = rows.mapInArrow(run, T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("score", T.DoubleType())]))
     out = scored.select("_row.*", "score")

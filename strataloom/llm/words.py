@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pandas.util import hash_array
+from xxhash import xxh3_64_intdigest
 
 _U = np.uint64
 BLOCK_BYTES = 250_000
 _SPACE = frozenset((32, *range(9, 14)))
-_KEY = "strataloom words"  # 16 bytes, of the keyed hash (SipHash-2-4) of a word
+_SEED = 20_11  # of a word's hash
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -27,12 +28,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _hash_block(raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    words, counts = [], []
+    hashes, counts = [np.zeros(0, dtype=np.uint64)], []
     for r in raw:
-        here = (r.lower() if lower else r).split()
-        words += here
-        counts.append(len(here))
-    return hash_array(np.fromiter(words, dtype=object, count=len(words)), hash_key=_KEY, categorize=False), np.asarray(counts, dtype=np.int64)
+        words = (r.lower() if lower else r).split()
+        hashes.append(np.fromiter(map(xxh3_64_intdigest, words, repeat(_SEED)), np.uint64, len(words)))
+        counts.append(len(words))
+    return np.concatenate(hashes), np.asarray(counts, dtype=np.int64)
 
 
 def _pieces(raw: bytes) -> list[bytes]:
@@ -50,7 +51,8 @@ def _pieces(raw: bytes) -> list[bytes]:
 def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Stable 64-bit hash of every word (bytes between ASCII white space) of all texts in turn, and the number of words of each.
 
-    The hash is a keyed one, so no family of words collides by its form; with ``lower`` A to Z count as a to z.
+    The hash (XXH3 with a seed) is not linear in a word's bytes, so no family of words collides by its form; with ``lower``
+    A to Z count as a to z.
     """
     hashes, counts, first, block, size = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [], [], 0
     done = 0
