@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.measures import cosine
 from strataloom.functions.text import index_tokens
+from strataloom.sources.tables import Cuts, exists
 
 
 def bm25(docs: DataFrame, terms: list[str], text: str = "text", doc_id: str = "doc_id", k: int | None = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -36,45 +38,68 @@ def bm25(docs: DataFrame, terms: list[str], text: str = "text", doc_id: str = "d
     return ranked(scored, k)
 
 
-BUCKETS = 64
+BUCKET_WORDS = 2_000_000  # of the first batch, in a bucket
 
 
 class KeywordIndex:
-    """Postings kept as Parquet under a folder: (term, doc_id, tf, length) by a hash of the term, sorted, and the corpus figures of every batch.
+    """Postings kept as Parquet under a folder: (term, doc_id, tf, length) by a hash of the term, sorted; ids, document frequencies and corpus figures of every batch.
 
-    A search reads the folders of its terms only, and of those the row groups that may hold them.
+    How many buckets there are follows from the words of the first batch. A bucket is written by several tasks, by a hash of the
+    id, so a term that is in most documents is spread too. A search looks up its terms' frequencies, then reads the folders of
+    its terms only, and of those the row groups that may hold them.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def append(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> KeywordIndex:
-        """Add documents (ids that are not in the index yet)."""
+        """Add documents; ids that are in the index already are left out. A null text has no terms, but is a document."""
         tokens = docs.select(F.col(doc_id).alias("doc_id"), index_tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
+        known = self._read("ids", "doc_id " + tokens.schema["doc_id"].dataType.simpleString())
+        tokens = tokens.join(known, "doc_id", "left_anti") if known is not None else tokens
+        cuts = Cuts(self.spark)
+        tokens = cuts.written(tokens, "keyword-tokens")
+        n, words = tokens.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        buckets = self.buckets() or max(16, -(-words // BUCKET_WORDS))
+        shares = 1 + words // (16 * BUCKET_WORDS)
+        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
         counted = tokens.select("doc_id", "length", F.explode("t").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket")
-        rows = counted.select("term", "doc_id", "tf", "length", bucket).repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id")
+        rows = counted.select("term", "doc_id", "tf", "length", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(shares))).sortWithinPartitions("bucket", "term", "doc_id")
         rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).write.mode("append").parquet(f"{self.path}/figures")
+        own = tokens.select("doc_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", bucket)
+        own.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/terms")
+        tokens.select("doc_id").write.mode("append").parquet(f"{self.path}/ids")
+        self.spark.createDataFrame([(n, words, buckets)], "n long, words long, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/figures")
+        cuts.clear()
         return self
 
+    def _read(self, name: str, schema: str) -> DataFrame | None:
+        """A table of the index; none before the first batch."""
+        if not exists(self.spark, f"{self.path}/{name}"):
+            return None
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def buckets(self) -> int | None:
+        rows = self._read("figures", "n long, words long, buckets int")
+        return rows.agg(F.max("buckets")).first()[0] if rows is not None else None
+
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
 
     def figures(self) -> DataFrame:
-        """One row: documents and mean length."""
-        return self.spark.read.parquet(f"{self.path}/figures").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("mean"))
+        """One row: documents, mean length and number of buckets."""
+        return self.spark.read.parquet(f"{self.path}/figures").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("mean"), F.max("buckets").alias("buckets"))
 
     def search(self, terms: list[str], k: int | None = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """(doc_id, score, rank) as of ``bm25``."""
-        wanted = sorted(set(terms))
-        own = self.postings().where(F.col("bucket").isin([zlib.crc32(t.encode()) % BUCKETS for t in wanted]) & F.col("term").isin(wanted))
-        times = reduce(lambda c, t: c.when(F.col("term") == t, terms.count(t)), wanted, F.when(F.lit(False), 0))
-        df = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.figures()))  # a row a term, and one row
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        weight = df.select("term", (times * idf).alias("weight"), "mean")
-        part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        return ranked(own.join(F.broadcast(weight), "term").groupBy("doc_id").agg(F.sum(part).alias("score")), k)
+        wanted, whole = sorted(set(terms)), self.figures().first()
+        here = F.col("bucket").isin([zlib.crc32(t.encode()) % whole["buckets"] for t in wanted]) & F.col("term").isin(wanted)
+        often = {r["term"]: r["df"] for r in self.spark.read.parquet(f"{self.path}/terms").where(here).groupBy("term").agg(F.sum("df").alias("df")).collect()}  # a row a term
+        weight = F.lit(0.0)
+        for t, df in often.items():
+            weight = F.when(F.col("term") == t, terms.count(t) * math.log((whole["n"] - df + 0.5) / (df + 0.5) + 1)).otherwise(weight)
+        part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(whole["mean"])))
+        return ranked(self.postings().where(here).groupBy("doc_id").agg(F.sum(part).alias("score")), k)
 
 
 def vector_search(vectors: DataFrame, query: list[float], k: int | None = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strataloom.operators import retrieval as R
-from strataloom.sources.tables import scratch, table
+from strataloom.sources.tables import remove, scratch, table, versions
 
 from . import sql as S
 
@@ -19,11 +19,14 @@ _BUILT: dict[tuple, R.KeywordIndex] = {}
 
 
 def _index(spark, sf):
-    """The documents' keyword index, built once for an application and the files it was read from."""
+    """The documents' keyword index, built once for an application and the files as they are."""
     docs = table(spark, sf, "documents")
-    key = (spark.sparkContext.applicationId, *docs.inputFiles())
-    if key not in _BUILT:
+    key, now = (spark.sparkContext.applicationId, sf), versions(docs)
+    if key not in _BUILT or _BUILT[key].of != now:
+        if key in _BUILT:
+            remove(spark, _BUILT[key].path)
         _BUILT[key] = R.KeywordIndex(spark, f"{scratch(spark)}/keywords-{uuid.uuid4().hex}").append(docs)
+        _BUILT[key].of = now
     return _BUILT[key]
 
 

@@ -66,6 +66,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def versions(df: DataFrame) -> tuple:
     """The files behind ``df`` with their sizes and times: another tuple once one is written anew."""
     files = df.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("double").alias("at")).distinct()

@@ -153,6 +153,7 @@ def test_keyword_index_in_batches_is_the_scan(spark, tmp_path):
     docs = [(i, " ".join(r.choice("alpha beta gammaDelta eps 12 the x1".split()) for _ in range(r.randrange(0, 30)))) for i in range(90)] + [(90, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     index = R.KeywordIndex(spark, str(tmp_path / "k")).append(df.where("doc_id < 50")).append(df.where("doc_id >= 50"))
+    index.append(df.where("doc_id < 20"))  # there already
     for terms in (["alpha"], ["delta", "beta", "beta"], ["nowhere"], ["x1", "nowhere"]):
         a, b = index.search(terms, 7).collect(), R.bm25(df, terms, k=7).collect()
         assert [(x["doc_id"], x["rank"], round(x["score"], 9)) for x in a] == [(x["doc_id"], x["rank"], round(x["score"], 9)) for x in b]
