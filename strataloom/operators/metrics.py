@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.operators.graph import coupling, reachable
+from strataloom.operators.cycles import on_cycles
+from strataloom.operators.graph import coupling
 
 #: Upper ends of the complexity classes.
 LEVELS = (("low", 5), ("moderate", 10), ("high", 20), ("very_high", None))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alike, audit, clusters, consolidation, documents, items, markdown, memory, metrics, network, retrieval, scorecard, store, streams, structure, vectors
+from . import alike, audit, clusters, consolidation, cycles, differences, documents, items, markdown, memory, metrics, network, retrieval, scorecard, store, streams, structure, vectors
 
-MODULES = (retrieval, audit, memory, documents, structure, items, markdown, metrics, store, scorecard, network, vectors, alike, clusters, streams, consolidation)
+MODULES = (retrieval, audit, memory, documents, structure, items, markdown, metrics, store, scorecard, network, vectors, alike, clusters, streams, consolidation, differences, cycles)
 
 
 def queries() -> dict:
