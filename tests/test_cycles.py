@@ -21,7 +21,7 @@ def reached(edges, n):
     return out
 
 
-@pytest.mark.parametrize("seed,n,m", [(1, 30, 45), (2, 25, 25), (3, 40, 120)])
+@pytest.mark.parametrize("seed,n,m", [(1, 30, 45), (3, 40, 120)])
 def test_parts_cycles_reach(spark, seed, n, m):
     r = random.Random(seed)
     edges = {(r.randrange(n), r.randrange(n)) for _ in range(m)} | {(n, n)} | {(n + 1 + i, n + 1 + (i + 1) % 9) for i in range(9)} | {(0, n + 1)}
