@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .word_cache import Memo
+from .words import give_back
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SALTS = 256
@@ -86,6 +87,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: in
                     for c, v in zip(cols, (doc_id, start, len(part) // 4, zlib.crc32(part), n)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES)
 

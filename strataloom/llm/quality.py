@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import give_back
+
 #: Bound on the labelled rows that the model is fitted on (a hash sample of them where there are more).
 MAX_TRAIN = 20_000
 FEATURES = (
@@ -170,6 +172,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, with
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], names=["_row", "score"])
+        give_back()
 
     scored = rows.mapInArrow(run, T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("score", T.DoubleType())]))
     out = scored.select("_row.*", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -83,6 +84,14 @@ def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc + _U(k))
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system, where its C library can: workers are used again by the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches, columns: int, most_chars: int) -> Iterator[list[list]]:
     """Rows of Arrow batches as lists per column, in chunks of about ``most_chars`` characters of the last column."""
     rows: list[list] = [[] for _ in range(columns)]
@@ -98,3 +107,4 @@ def chunks(batches, columns: int, most_chars: int) -> Iterator[list[list]]:
                 pa.default_memory_pool().release_unused()
     if rows[0]:
         yield rows
+    give_back()
