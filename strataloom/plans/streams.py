@@ -28,7 +28,7 @@ def stream_metric_figures(spark, sf):
     events, path = _events(spark, sf)
     seen = events.select(F.lit("value").alias("name"), F.create_map(F.lit("type"), "event_type").alias("labels"), F.col("ts").alias("at"), F.col("event_id").alias("place"), "value")
     got = A.drained(T.metric_histories(seen), path, "update").drop("batch")
-    return got.withColumns({c: F.round(c, 4) for c in ("total", "min", "max", "mean", "median", "p95", "p99")})
+    return got.withColumns({c: F.round(c, 6) for c in ("total", "min", "max", "mean", "median", "p95", "p99")})
 
 
 def stream_consolidation_due(spark, sf):
@@ -50,7 +50,7 @@ SELECT session, turn, failure, detail FROM f WHERE failure IS NOT NULL
 UNION ALL SELECT session, turn, 'idle', '' FROM l WHERE closed OR ms + 3600000 <= (SELECT max(ms) FROM t) - 600000""",
     "stream_metric_figures": """WITH v AS (SELECT 'value{type=' || event_type || '}' AS metric, value, row_number() OVER (PARTITION BY event_type ORDER BY epoch_ms(ts) DESC, event_id DESC) AS back FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
 k AS (SELECT metric, list(value ORDER BY value) AS l FROM v WHERE back <= 1000 GROUP BY 1)
-SELECT metric, round(total, 4) AS total, len(l) AS count, round(l[1], 4) AS min, round(l[-1], 4) AS max, round(list_avg(l), 4) AS mean, round(list_median(l), 4) AS median, round(CASE WHEN len(l) >= 20 THEN l[(floor(len(l) * 0.95::DOUBLE))::INT + 1] ELSE l[-1] END, 4) AS p95,
- round(CASE WHEN len(l) >= 100 THEN l[(floor(len(l) * 0.99::DOUBLE))::INT + 1] ELSE l[-1] END, 4) AS p99 FROM k JOIN (SELECT metric, sum(value) AS total FROM v GROUP BY 1) USING (metric)""",
+SELECT metric, round(total, 6) AS total, len(l) AS count, round(l[1], 6) AS min, round(l[-1], 6) AS max, round(list_avg(l), 6) AS mean, round(list_median(l), 6) AS median, round(CASE WHEN len(l) >= 20 THEN l[(floor(len(l) * 0.95::DOUBLE))::INT + 1] ELSE l[-1] END, 6) AS p95,
+ round(CASE WHEN len(l) >= 100 THEN l[(floor(len(l) * 0.99::DOUBLE))::INT + 1] ELSE l[-1] END, 6) AS p99 FROM k JOIN (SELECT metric, sum(value) AS total FROM v GROUP BY 1) USING (metric)""",
     "stream_consolidation_due": "SELECT event_type AS scope, 1::BIGINT AS round, count(DISTINCT event_id) AS items FROM events WHERE event_type IS NOT NULL GROUP BY 1 HAVING count(DISTINCT event_id) >= 20",
 }
