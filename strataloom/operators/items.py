@@ -90,12 +90,12 @@ def merge_confidence(items: DataFrame, cluster: str, now: str) -> DataFrame:
 def near_pairs(items: DataFrame, most_distance: float = 0.3) -> DataFrame:
     """(a, b) of items (id, kind, first_tag, embedding) of one type and first tag whose vectors are at most ``most_distance`` apart; a < b.
 
-    Near vectors come from a kept index, so no pairs are made but those that are near.
+    Near vectors come from a kept index, so no pairs are made but those that are near and of one type and tag.
     """
     spark = items.sparkSession
     rows = items.select(F.concat_ws(":", "kind", F.lower("first_tag")).alias("key"), F.col("id").cast("long").alias("id"), "embedding").where("id is not null")
     index = VectorIndex.build(rows, f"{scratch(spark)}/item-vectors-{uuid.uuid4().hex}", "id", "embedding")
-    near = index.near(rows, 1.0 - most_distance, vec_id="id")
+    near = index.near(rows, 1.0 - most_distance, vec_id="id", same="key", later=True)
     remove(spark, index.path)
     key = lambda end: rows.select(F.col("id").alias(end), F.col("key").alias(f"k{end}")).distinct()
     pairs = near.select(F.col("query_id").alias("a"), F.col("id").alias("b")).where("a < b")

@@ -78,3 +78,37 @@ def test_edges(spark, tmp_path):
     assert none.append(df, "later").rows().count() == 3  # trained on the first rows there are
     index.delete(df.select(F.col("vec_id").alias("id")))
     assert index.search(df, 3).collect() == []
+
+
+def test_cells_are_chosen_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from strataloom.operators.vector_index import _wanted
+
+    r = np.random.default_rng(1)
+    c, x = r.standard_normal((2048, 8)), r.standard_normal((5000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), pa.array([v.tobytes() for v in x])], names=["id", "vec"])
+    tracemalloc.start()
+    read = sum(b.num_rows for b in _wanted(np.arange(2048, dtype=np.int32), c, np.ones(2048), np.full(2048, 50), 10)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert read == 10_000 and peak < 100 * 2**20  # all scores of the batch at once are 80 MB, and there were several such arrays
+
+
+def test_many_equal_vectors_and_near_of_one_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("strataloom.operators.vector_index.GROUP", 1024)
+    ids, x = np.arange(2600), clustered(2600, 4, dim=6)
+    x[:1500] = x[0]  # one cell of more than a group
+    rows = frame(spark, ids, x)
+    index = VectorIndex.build(rows, str(tmp_path / "i"), cells=40)
+    few = ids[[0, 3, 1499, 1500, 2599]]
+    got = found(index.search(frame(spark, few, x[few]), 6))
+    assert got == {i: v for i, v in plain(ids, x, 6).items() if i in few} and got[1499] == [0, 1, 2, 3, 4, 5]
+    u = x[1400:] / np.linalg.norm(x[1400:], axis=1, keepdims=True)
+    some = frame(spark, ids[1400:], x[1400:])
+    index = VectorIndex.build(some, str(tmp_path / "n"), cells=20)
+    near = {(r["query_id"], r["id"]) for r in index.near(some, 0.9, same="kind", later=True).collect()}
+    s = u @ u.T
+    assert near == {(1400 + a, 1400 + b) for a, b in zip(*np.nonzero(s >= 0.9)) if a < b and a % 5 == b % 5}
