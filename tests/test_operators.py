@@ -161,3 +161,20 @@ def test_rate_limit_by_a_plain_bucket(spark):
                 tokens, ok = tokens - 1, ok + 1
         assert got[session] == (len(times), ok)
     assert 0 < sum(a for _, a in got.values()) < sum(c for c, _ in got.values())
+
+
+def test_sets_that_share_a_rare_word_are_not_carried_as_pairs(spark):
+    import random
+
+    from strataloom.operators.documents import _candidates, _heads, similar_pairs
+
+    r = random.Random(4)
+    words = [" ".join(["rare"] + r.sample([f"w{i}" for i in range(400)], 60)) for _ in range(120)]
+    words += [w.rsplit(" ", 3)[0] for w in words[:10]]  # ten of their own near copies
+    texts = spark.createDataFrame(list(enumerate(words)), "id long, text string")
+    sets = texts.selectExpr("id", "split(text, ' ') as words")
+    met = {tuple(p) for p in _candidates(_heads(sets, 0.8), 0.8).collect()}
+    got = {(p["a"], p["b"]) for p in similar_pairs(texts, 0.8).collect()}
+    of = [set(w.split()) for w in words]
+    assert got == {(a, b) for a in range(130) for b in range(a + 1, 130) if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])}
+    assert got <= met and len(got) == 10 and len(met) < 20  # all 8,385 pairs share a word
