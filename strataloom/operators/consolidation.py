@@ -110,7 +110,7 @@ class Consolidation:
         joined = self.spark.createDataFrame([], "id long, cluster long")
         if done:
             founders = VectorIndex(self.spark, at)
-            near = founders.near(keyed.where(usable_vector(F.col("embedding"))), 1.0 - self.distance, vec_id="id").withColumnRenamed("id", "cluster").withColumnRenamed("query_id", "id")
+            near = founders.near(keyed.where(usable_vector(F.col("embedding"))), 1.0 - self.distance, vec_id="id", same="key").withColumnRenamed("id", "cluster").withColumnRenamed("query_id", "id")
             old = self._founder_keys()
             near = near.join(keyed.select("id", "key"), "id").join(old, ["cluster", "key"]).groupBy("id").agg(F.min("cluster").alias("cluster"))
             joined = joined.unionByName(near)
@@ -136,7 +136,7 @@ class Consolidation:
         merges = whole.groupBy("cluster").agg(F.count("*").alias("n")).select(F.col("cluster").alias("id"), F.lit("merge").alias("action"), F.col("n").cast("string").alias("detail"), now)
         put(merges.unionByName(alone.select("id", F.lit("promote").alias("action"), F.col("to").alias("detail"), now)), "events")
 
-        made = fresh.join(placed.where("id = cluster"), "id", "left_semi").select("id", "embedding")
+        made = fresh.join(placed.where("id = cluster"), "id", "left_semi").select("id", cluster_key().alias("key"), "embedding")
         if done:
             VectorIndex(self.spark, at).append(made, batch, "id", "embedding")
         else:
