@@ -88,12 +88,12 @@ def outline(headings: DataFrame) -> DataFrame:
     doc = Window.partitionBy("doc_id").orderBy("line")
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
     ones = headings.withColumn("n1", F.sum((F.col("level") == 1).cast("int")).over(upto))
-    two = Window.partitionBy("doc_id", "n1").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    twos = ones.withColumn("n2", F.sum((F.col("level") == 2).cast("int")).over(two))
-    three = Window.partitionBy("doc_id", "n1", "n2").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    threes = twos.withColumn("n3", F.sum((F.col("level") == 3).cast("int")).over(three))
-    after = doc.rowsBetween(1, Window.unboundedFollowing)
-    at = lambda k: F.min(F.when(F.col("level") <= k, F.col("line"))).over(after)
+    # Numbers start anew at the last heading above: counts so far, less those at that heading, so one order serves all.
+    counted = ones.withColumns({f"c{k}": F.sum((F.col("level") == k).cast("int")).over(upto) for k in (2, 3)})
+    since = lambda k: F.col(f"c{k}") - F.coalesce(F.max(F.when(F.col("level") < k, F.col(f"c{k}"))).over(upto), F.lit(0))
+    threes = counted.select("doc_id", "line", "level", "n1", since(2).alias("n2"), since(3).alias("n3"))
+    back = Window.partitionBy("doc_id").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda k: F.min(F.when(F.col("level") <= k, F.col("line"))).over(back)
     end = F.when(F.col("level") == 1, at(1)).when(F.col("level") == 2, at(2)).otherwise(at(3)) - 1
     number = F.concat_ws(".", "n1", F.when(F.col("level") >= 2, F.col("n2")), F.when(F.col("level") >= 3, F.col("n3")))
     return threes.select("doc_id", "line", "level", number.alias("number"), end.alias("until"))

@@ -112,15 +112,15 @@ def line_windows(spark, sf):
 
 
 def _headings(spark, sf):
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.least(F.lit(3), 1 + F.col("l_quantity").cast("int") % 5).alias("level")).distinct()
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.least(F.lit(3), 1 + F.col("l_quantity").cast("int") % 5).alias("level")).groupBy("doc_id", "line").agg(F.max("level").alias("level"))
 
 
 def heading_jumps(spark, sf):
-    return R.heading_jumps(_headings(spark, sf).groupBy("doc_id", "line").agg(F.max("level").alias("level")))
+    return R.heading_jumps(_headings(spark, sf))
 
 
 def outline(spark, sf):
-    return R.outline(_headings(spark, sf).groupBy("doc_id", "line").agg(F.max("level").alias("level")))
+    return R.outline(_headings(spark, sf))
 
 
 QUERIES = [advisories, version_conflicts, dependency_matrix, dead_nodes, orphan_nodes, communities, cluster_agreement, cross_corpus_edges, compacted_graph, chain_audit, merged_items, placeholder_numbers, injected_items, drift_grid, tool_latency, control_ratio, line_windows, heading_jumps, outline]
