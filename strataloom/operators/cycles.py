@@ -27,8 +27,12 @@ def strong_parts(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     e = cuts.written(_edges(edges).where("src != dst"), "parts-edges")
     kind, found = e.schema["src"].dataType, []
     for _ in range(max_rounds):
-        for _ in range(2):  # trim: a node on a cycle has a way in and a way out
-            e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        for _ in range(2):  # trim: a node on a cycle has a way in and a way out; the few others are taken off
+            ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("out")))).alias("x")).groupBy("x.node")
+            idle = cuts.written(ends.agg(F.bool_and("x.out").alias("in_none"), F.bool_or("x.out").alias("out_some")).where("in_none or not out_some").select("node"), "parts-idle")
+            if idle.isEmpty():
+                break
+            e = e.join(idle.withColumnRenamed("node", "src"), "src", "left_anti").join(idle.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
             e = cuts.written(e, "parts-edges")
         if e.isEmpty():
             break
@@ -78,12 +82,14 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 def witnesses(edges: DataFrame, parts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(part, place, node): of each part (node, part) a shortest cycle through its smallest node, from place 0 there.
 
-    Of ways of one length that through the smallest nodes back from the end is taken.
+    Of ways of one length that through the smallest nodes back from the end is taken. A part whose last steps lead back to its
+    smallest node goes no further: longer ways are no shortest cycle.
     """
     cuts = Cuts(edges.sparkSession)
     own = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"p{end}"))
     e = _edges(edges).where("src != dst").join(own("src"), "src").join(own("dst"), "dst").where("psrc = pdst")
     e = cuts.written(e.select("src", "dst", F.col("psrc").alias("part")), "witness-edges")
+    closing = cuts.written(e.where("dst = part").select("part", F.col("src").alias("node")), "witness-closing")
     seen = front = cuts.written(parts.where("node = part").select("part", "node", F.lit(0).alias("place"), F.lit(None).cast(parts.schema["node"].dataType).alias("before")), "witness-seen")
     for r in range(1, max_rounds):
         step = front.select("part", F.col("node").alias("src")).join(e, ["part", "src"]).groupBy("part", F.col("dst").alias("node")).agg(F.min("src").alias("before"))
@@ -91,7 +97,8 @@ def witnesses(edges: DataFrame, parts: DataFrame, max_rounds: int = 10_000) -> D
         if front.isEmpty():
             break
         seen = cuts.written(seen.unionByName(front), "witness-seen")
-    last = e.where("dst = part").select("part", F.col("src").alias("node")).join(seen, ["part", "node"]).groupBy("part").agg(F.min(F.struct("place", "node", "before")).alias("l"))
+        front = front.join(front.join(closing, ["part", "node"], "left_semi").select("part").distinct(), "part", "left_anti")
+    last = closing.join(seen, ["part", "node"]).groupBy("part").agg(F.min(F.struct("place", "node", "before")).alias("l"))
     at = cuts.written(last.select("part", "l.place", "l.node", "l.before"), "witness-way")
     way = [at]
     for _ in range(max_rounds):
