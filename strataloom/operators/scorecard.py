@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,39 @@ def _words(pattern: str) -> str:
     return rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{N}}_])"
 
 
+def _forms(pattern: str) -> set[str]:
+    """All texts that a pattern of alternatives with classes and optional letters stands for."""
+    out = set()
+    for one in pattern.split("|"):
+        forms = {""}
+        for some, maybe, letter, at_most in re.findall(r"\[([^\]]*)\](\??)|(.)(\??)", one):
+            forms = {f + c for f in forms for c in [*(some or letter), *([""] if maybe or at_most else [])]}
+        out |= forms
+    return out
+
+
+def _among(words: set[str]):
+    return lambda w: w.isin(sorted(words))
+
+
+def _word_counts(patterns: dict[str, list[str]], text: str, low: str, hits: str) -> list[Column]:
+    """How often each list of patterns occurs as whole words, whatever the case; ``hits`` are the text's words that are in some pattern.
+
+    A form of several words is looked for in the text itself, if its first word is there at all.
+    """
+    out = []
+    for name, many in patterns.items():
+        total = F.lit(0)
+        for p in many:
+            forms = _forms(p)
+            total = total + F.size(F.filter(hits, _among({x for x in forms if " " not in x})))
+            for one in [x for x in p.split("|") if " " in x]:
+                start = os.path.commonprefix(sorted(_forms(one)))
+                total = total + F.when(F.contains(low, F.lit(start)), F.regexp_count(text, F.lit(_words(one)))).otherwise(0)
+        out.append(total.alias(name))
+    return out
+
+
 def structure_score(text: Column) -> Column:
     """Paragraphs of 100 to 500 characters, headings of three levels, and the share of list lines."""
     t = F.coalesce(text, F.lit(""))
@@ -43,10 +78,13 @@ def structure_score(text: Column) -> Column:
 
 def scorecard(docs: DataFrame, coherence: float = 0.5, text: str = "text") -> DataFrame:
     """(doc_id, lq, sq, ir, entropy, actions, mri, sri, qa, tags): scores from 0 to 1 and what they allow; coherence is taken as neutral."""
-    t = F.coalesce(text, F.lit(""))
-    counts = [reduce(Column.__add__, [F.regexp_count(t, F.lit(_words(p))) for p in many]).alias(k) for k, many in INTENT.items()]
-    n_words = F.regexp_count(t, F.lit(r"\S+"))
-    rows = docs.select("doc_id", structure_score(F.col(text)).alias("sq"), F.when(n_words > 0, F.least(F.lit(1.0), F.regexp_count(t, F.lit(_words(ACTIONS))) / n_words * 100 / 5)).otherwise(0.0).alias("actions"), *counts)
+    t, patterns = F.coalesce(text, F.lit("")), {**INTENT, "acts": [ACTIONS]}
+    # Words are cut once, and only those that are in some pattern are counted; the four letters are those that fold to ASCII ones.
+    looked_for = sorted({f for many in patterns.values() for p in many for f in _forms(p) if " " not in f})
+    rows = docs.select("doc_id", t.alias("text")).withColumn("low", F.lower(F.translate("text", "\u017f\u212a\u0131\u0130", "skii")))
+    rows = rows.withColumn("hits", F.filter(F.split("low", r"[^\p{L}\p{N}_]+"), lambda w: w.isin(looked_for)))
+    rows = rows.select("doc_id", structure_score(F.col("text")).alias("sq"), F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), *_word_counts(patterns, "text", "low", "hits"))
+    rows = rows.withColumn("actions", F.when(F.col("n_words") > 0, F.least(F.lit(1.0), F.col("acts") / F.col("n_words") * 100 / 5)).otherwise(0.0))
     total = reduce(Column.__add__, [F.col(k) for k in INTENT])
     share = [F.col(k) / total for k in INTENT]
     entropy = reduce(Column.__add__, [F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in share]) / 2.0
