@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import zlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,15 +38,13 @@ def bm25(docs: DataFrame, terms: list[str], text: str = "text", doc_id: str = "d
     return ranked(scored, k)
 
 
-BUCKET_WORDS = 2_000_000  # of the first batch, in a bucket
-
-
 class KeywordIndex:
-    """Postings kept as Parquet under a folder: (term, doc_id, tf, length) by a hash of the term, sorted; ids, document frequencies and corpus figures of every batch.
+    """Postings kept as Parquet under a folder: (term, doc_id, tf, length), sorted by term within each file; term frequencies, ids and corpus figures of every batch.
 
-    How many buckets there are follows from the words of the first batch. A bucket is written by several tasks, by a hash of the
-    id, so a term that is in most documents is spread too. A search looks up its terms' frequencies, then reads the folders of
-    its terms only, and of those the row groups that may hold them.
+    A task that reads texts writes the postings of its own, so none are shuffled: as many sorted files as tasks, each of a bounded
+    share of the texts, and a term that is in most documents is in all of them. A search looks up its terms' frequencies, then
+    reads of each file the row groups and pages that may hold its terms. Every row is a document; rows that repeat an id are
+    scored each, and the scores of one id are summed.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -54,22 +52,23 @@ class KeywordIndex:
 
     def append(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> KeywordIndex:
         """Add documents; ids that are in the index already are left out. A null text has no terms, but is a document."""
-        tokens = docs.select(F.col(doc_id).alias("doc_id"), index_tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
+        tokens = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(index_tokens(F.col(text))).alias("t")).withColumn("length", F.size("t"))
         known = self._read("ids", "doc_id " + tokens.schema["doc_id"].dataType.simpleString())
         tokens = tokens.join(known, "doc_id", "left_anti") if known is not None else tokens
-        cuts = Cuts(self.spark)
+        cuts, batch = Cuts(self.spark), uuid.uuid4().hex
         tokens = cuts.written(tokens, "keyword-tokens")
-        n, words = tokens.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        buckets = self.buckets() or max(16, -(-words // BUCKET_WORDS))
-        shares = 1 + words // (16 * BUCKET_WORDS)
-        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
-        counted = tokens.select("doc_id", "length", F.explode("t").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-        rows = counted.select("term", "doc_id", "tf", "length", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(shares))).sortWithinPartitions("bucket", "term", "doc_id")
-        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        own = tokens.select("doc_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", bucket)
-        own.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/terms")
+        n, words, different = tokens.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.countDistinct("doc_id")).first()
+        # Equal terms follow each other, so a term's uses are the distance from its first place to the next term's.
+        first = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get("t", i - 1)), i)), lambda i: i.isNotNull())
+        runs = tokens.withColumn("at", first).select("doc_id", "length", "t", "at", F.posexplode("at").alias("k", "i"))
+        tf = F.coalesce(F.get("at", F.col("k") + 1), F.col("length")) - F.col("i")
+        rows = runs.select(F.get("t", F.col("i")).alias("term"), "doc_id", tf.cast("int").alias("tf"), "length")
+        rows.sortWithinPartitions("term", "doc_id").write.parquet(f"{self.path}/postings/batch={batch}")
+        held = F.count("*") if n == different else F.countDistinct("doc_id")  # ids that repeat, or are null, are counted as such
+        own = self.spark.read.schema(rows.schema).parquet(f"{self.path}/postings/batch={batch}").groupBy("term").agg(F.count("*").alias("df"), held.alias("documents"), F.sum("tf").alias("uses"))
+        own.sortWithinPartitions("term").write.mode("append").parquet(f"{self.path}/terms")
         tokens.select("doc_id").write.mode("append").parquet(f"{self.path}/ids")
-        self.spark.createDataFrame([(n, words, buckets)], "n long, words long, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/figures")
+        self.spark.createDataFrame([(n, words)], "n long, words long").coalesce(1).write.mode("append").parquet(f"{self.path}/figures")
         cuts.clear()
         return self
 
@@ -79,22 +78,22 @@ class KeywordIndex:
             return None
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def buckets(self) -> int | None:
-        rows = self._read("figures", "n long, words long, buckets int")
-        return rows.agg(F.max("buckets")).first()[0] if rows is not None else None
-
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.parquet(f"{self.path}/postings").drop("batch")
+
+    def terms(self) -> DataFrame:
+        """(term, df, documents, uses): rows and different ids that hold each term, and how often they do."""
+        return self.spark.read.parquet(f"{self.path}/terms").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "documents", "uses")])
 
     def figures(self) -> DataFrame:
-        """One row: documents, mean length and number of buckets."""
-        return self.spark.read.parquet(f"{self.path}/figures").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("mean"), F.max("buckets").alias("buckets"))
+        """One row: documents and mean length."""
+        return self.spark.read.parquet(f"{self.path}/figures").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("mean"))
 
     def search(self, terms: list[str], k: int | None = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """(doc_id, score, rank) as of ``bm25``."""
         wanted, whole = sorted(set(terms)), self.figures().first()
-        here = F.col("bucket").isin([zlib.crc32(t.encode()) % whole["buckets"] for t in wanted]) & F.col("term").isin(wanted)
-        often = {r["term"]: r["df"] for r in self.spark.read.parquet(f"{self.path}/terms").where(here).groupBy("term").agg(F.sum("df").alias("df")).collect()}  # a row a term
+        here = F.col("term").isin(wanted)
+        often = {r["term"]: r["df"] for r in self.terms().where(here).select("term", "df").collect()}  # a row a term
         weight = F.lit(0.0)
         for t, df in often.items():
             weight = F.when(F.col("term") == t, terms.count(t) * math.log((whole["n"] - df + 0.5) / (df + 0.5) + 1)).otherwise(weight)

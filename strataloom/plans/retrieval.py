@@ -41,7 +41,7 @@ def bm25_scan(spark, sf):
 
 def bm25_index_terms(spark, sf):
     """The most frequent terms of the index."""
-    terms = _index(spark, sf).postings().groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("uses"))
+    terms = _index(spark, sf).terms().select("term", "documents", "uses")
     return terms.orderBy(F.desc("documents"), "term").limit(50)
 
 
