@@ -10,7 +10,9 @@ PORTS = {21: ("FTP", "medium"), 23: ("Telnet", "high"), 135: ("MSRPC", "high"),
 
 
 def _option(line: Column, name: str) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(line, rf"(?:^|\s){name}\s+(\S+)", 1), F.lit("")), F.lit("any"))
+    """What follows an option; the pattern is tried only on lines that hold its letters."""
+    found = F.when(F.contains(line, F.lit(name)), F.nullif(F.regexp_extract(line, rf"(?:^|\s){name}\s+(\S+)", 1), F.lit("")))
+    return F.coalesce(found, F.lit("any"))
 
 
 def firewall_rules(lines: DataFrame) -> DataFrame:
@@ -33,13 +35,16 @@ def firewall_rules(lines: DataFrame) -> DataFrame:
 def rule_findings(rules: DataFrame) -> DataFrame:
     """(file, line, finding, severity): rules that permit anything to anything or a port of PORTS; files whose policies deny nothing by default (line 0)."""
     open_ = rules.where("type = 'rule' and action = 'permit'")
-    every = open_.where("source = 'any' and destination = 'any'").select("file", "line", F.lit("any_to_any").alias("finding"), F.lit("high").alias("severity"))
     number = F.expr("try_cast(regexp_extract(port, '^([0-9]+)', 1) as int)")
     listed = F.create_map(*[x for p, (s, v) in PORTS.items() for x in (F.lit(p), F.struct(F.lit(s).alias("service"), F.lit(v).alias("severity")))])
-    ports = open_.withColumn("p", F.try_element_at(listed, number)).where("p is not null").select("file", "line", F.concat(F.lit("port:"), F.col("p.service")).alias("finding"), F.col("p.severity").alias("severity"))
+    kind = lambda finding, severity: F.struct(finding.alias("finding"), severity.alias("severity"))
+    every = F.when((F.col("source") == "any") & (F.col("destination") == "any"), kind(F.lit("any_to_any"), F.lit("high")))
+    port = F.when(F.col("p").isNotNull(), kind(F.concat(F.lit("port:"), F.col("p.service")), F.col("p.severity")))
+    # Both in one pass over the rules.
+    found = open_.withColumn("p", F.try_element_at(listed, number)).select("file", "line", F.explode(F.array_compact(F.array(every, port))).alias("f")).select("file", "line", "f.finding", "f.severity")
     policies = rules.where("type = 'policy'").groupBy("file").agg(F.bool_or((F.col("action") == "deny") & F.col("chain").isin("INPUT", "FORWARD")).alias("ok"))
     none = policies.where("not ok").select("file", F.lit(0).alias("line"), F.lit("no_default_deny").alias("finding"), F.lit("medium").alias("severity"))
-    return every.unionByName(ports).unionByName(none)
+    return found.unionByName(none)
 
 
 def protected(text: Column, pattern: str, mark: str = "⦙") -> Column:
