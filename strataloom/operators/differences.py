@@ -125,6 +125,23 @@ def patched(old: list[str], hunks: list[tuple]) -> list[str]:
     return out + old[at:]
 
 
+def line_counts(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """(key, additions, deletions, changed) of ``line_differences``, without its hunks."""
+
+    def run(batches):
+        for batch in batches:
+            come, gone = [], []
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                hunks = script(lines_of(x), lines_of(y)) if (x or "") != (y or "") else []
+                come.append(sum(len(h[3]) for h in hunks))
+                gone.append(sum(len(h[1]) for h in hunks))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(come, pa.int32()), pa.array(gone, pa.int32())], names=["_key", "additions", "deletions"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    got = pairs.select(F.col(key).alias("_key"), F.col(old).cast("string"), F.col(new).cast("string")).mapInArrow(run, f"_key {kind}, additions int, deletions int")
+    return got.select(F.col("_key").alias(key), "additions", "deletions", (F.col("additions") + F.col("deletions") > 0).alias("changed"))
+
+
 def line_differences(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """(key, hunks, additions, deletions, changed) of each row's two texts.
 

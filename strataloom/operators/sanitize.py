@@ -36,7 +36,7 @@ def with_letters(text: Column) -> Column:
 
 
 def sanitized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, content, paths, ids, stripped): texts for external readers, and what was taken out."""
+    """(doc_id, raw, content, paths, ids, stripped): texts, null ones as empty, what external readers get of them, and what was taken out."""
     rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("raw")).withColumn("bare", without_metadata(F.col("raw")))
     paths = F.lit(0)
     step = F.col("bare")
@@ -45,13 +45,14 @@ def sanitized(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.select("doc_id", "raw", "bare", paths.cast("long").alias("paths"), without_paths(F.col("bare")).alias("t"))
     different = lambda p: F.size(F.array_distinct(F.regexp_extract_all("t", F.lit(p), F.lit(0))))
     ids = different(FILE_ID) + different(RUN_ID) + different(LONG_HASH)
-    return rows.select("doc_id", with_letters(F.col("t")).alias("content"), "paths", ids.cast("long").alias("ids"), (F.length("bare") < F.length("raw")).alias("stripped"))
+    return rows.select("doc_id", "raw", with_letters(F.col("t")).alias("content"), "paths", ids.cast("long").alias("ids"), (F.length("bare") < F.length("raw")).alias("stripped"))
 
 
 def denied_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, key): keys that a text holds as words, quoted or not."""
-    hit = F.array_compact(F.array(*[F.when(F.rlike(F.coalesce(text, F.lit("")), F.lit(rf"(?i)\b{k}\b")), F.lit(k)) for k in DENIED]))
-    return docs.select("doc_id", F.explode(hit).alias("key"))
+    """(doc_id, key): keys that a text holds as words, quoted or not. A pattern is tried only on texts that hold its letters."""
+    rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("t")).withColumn("low", F.lower("t"))
+    hit = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(k)) & F.rlike("t", F.lit(rf"(?i)\b{k}\b")), F.lit(k)) for k in DENIED]))
+    return rows.select("doc_id", F.explode(hit).alias("key"))
 
 
 def metrics_only(text: Column) -> Column:

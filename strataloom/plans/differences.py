@@ -21,9 +21,8 @@ def event_json_differences(spark, sf):
 
 def sanitized_differences(spark, sf):
     """How many lines of each Markdown text sanitizing changes."""
-    docs = _texts(spark, sf).select("doc_id", "text")
-    pairs = docs.select("doc_id", F.col("text").alias("old")).join(Z.sanitized(docs).select("doc_id", F.col("content").alias("new")), "doc_id")
-    return D.line_differences(pairs, "doc_id", "old", "new").select("doc_id", "additions", "deletions", "changed")
+    pairs = Z.sanitized(_texts(spark, sf)).select("doc_id", F.col("raw").alias("old"), F.col("content").alias("new"))
+    return D.line_counts(pairs, "doc_id", "old", "new")
 
 
 QUERIES = [event_json_differences, sanitized_differences]
