@@ -7,9 +7,11 @@ checkpoint goes on where it was.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +115,14 @@ def figures(values: list[float]) -> tuple:
     return n, v[0], v[-1], sum(v) / n, middle, v[int(n * 0.95)] if n >= 20 else v[-1], v[int(n * 0.99)] if n >= 100 else v[-1]
 
 
+def _sum(values) -> float:
+    """Rounded once; as plain sums go where that overflows or infinite values meet."""
+    try:
+        return math.fsum(values)
+    except (OverflowError, ValueError):
+        return float(sum(values))
+
+
 class _Histories(StatefulProcessor):
     def __init__(self, history: int):
         self.history = history
@@ -122,9 +132,14 @@ class _Histories(StatefulProcessor):
         self.values = handle.getListState("values", "at long, place long, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(r.ms), int(r.place), float(r.value)) for b in rows for r in b.itertuples(index=False)]
-        total = (self.total.get()[0] if self.total.exists() else 0.0) + sum(v for *_, v in sorted(new))
-        held = sorted([*(tuple(v) for v in (self.values.get() if self.values.exists() else [])), *new])[-self.history :]
+        kept = pd.DataFrame([tuple(v) for v in self.values.get()] if self.values.exists() else [], columns=["at", "place", "value"])
+        sums = [self.total.get()[0] if self.total.exists() else 0.0]
+        for b in rows:  # of each frame only its sum and its last values stay
+            new = pd.DataFrame({"at": b["ms"].astype("int64"), "place": b["place"].astype("int64"), "value": b["value"].astype("float64")})
+            sums.append(_sum(new["value"]))
+            kept = pd.concat([kept, new], ignore_index=True).sort_values(["at", "place", "value"]).tail(self.history) if len(kept) else new.sort_values(["at", "place", "value"]).tail(self.history)
+        held = list(zip(kept["at"].astype("int64").tolist(), kept["place"].astype("int64").tolist(), kept["value"].tolist()))
+        total = _sum(sums)
         self.total.update((total,))
         self.values.put(held)
         yield pd.DataFrame([(key[0], total, *figures([v for *_, v in held]))], columns=["metric", "total", "count", "min", "max", "mean", "median", "p95", "p99"])
@@ -159,12 +174,19 @@ class _Due(StatefulProcessor):
         self.rounds = handle.getValueState("rounds", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for b in rows:
-            for i in sorted({int(i) for i in b["id"]}):
-                self.waiting.updateValue((i,), (True,))
-        waiting = sum(1 for _ in self.waiting.keys())
+        before = np.asarray([k[0] for k in self.waiting.keys()], np.int64)
+        fresh, few = np.zeros(0, np.int64), []
+        for b in rows:  # eight bytes for each different id of a batch; frames are joined once they are as many as what there is
+            few.append(np.unique(b["id"].to_numpy(np.int64)))
+            if sum(map(len, few)) >= len(fresh):
+                fresh, few = np.unique(np.concatenate([fresh, *few])), []
+        fresh = np.unique(np.concatenate([fresh, *few]))
+        waiting = len(np.union1d(before, fresh))
         out = []
-        if waiting >= self.threshold:
+        if waiting < self.threshold:
+            for i in fresh.tolist():
+                self.waiting.updateValue((i,), (True,))
+        else:
             n = (self.rounds.get()[0] if self.rounds.exists() else 0) + 1
             self.rounds.update((n,))
             self.waiting.clear()
