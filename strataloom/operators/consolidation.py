@@ -161,7 +161,7 @@ def graph_components(items: DataFrame, edges: DataFrame, near: DataFrame) -> Dat
     """
     e = edges.where("src is not null and dst is not null").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     name = items.select("id", F.concat(F.lit("i"), F.col("id")).alias("node"), "doc", F.lower("first_tag").alias("tag"))
-    next_to = e.select(F.col("src").alias("node"), F.col("dst").alias("hub")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("hub"))).unionByName(name.select("node", F.col("node").alias("hub"))).distinct()
+    next_to = e.select(F.col("src").alias("node"), F.col("dst").alias("hub")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("hub"))).unionByName(name.select("node", F.col("node").alias("hub")))  # repeats make no other links, so they stay
     at = written(next_to.join(name, "node").select("id", "hub", "doc", "tag"), "consolidation-hubs")
     links = None
     for sign in ("doc", "tag"):
@@ -169,7 +169,9 @@ def graph_components(items: DataFrame, edges: DataFrame, near: DataFrame) -> Dat
         first = some.groupBy("hub", sign).agg(F.min("id").alias("first"))
         star = some.join(first, ["hub", sign]).where("id != first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
         links = star if links is None else links.unionByName(star)
-    a, b = at.select(F.col("id").alias("a"), "hub"), at.select(F.col("id").alias("b"), "hub")
+    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    here = at.select("id", "hub").join(ends, "id", "left_semi").distinct()  # few items are near any
+    a, b = here.select(F.col("id").alias("a"), "hub"), here.select(F.col("id").alias("b"), "hub")
     both = near.select("a", "b").join(a, "a").join(b, ["b", "hub"]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     of = components(links.unionByName(both).distinct())
     return items.select("id").distinct().join(of.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
