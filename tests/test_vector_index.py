@@ -112,3 +112,18 @@ def test_many_equal_vectors_and_near_of_one_key(spark, tmp_path, monkeypatch):
     near = {(r["query_id"], r["id"]) for r in index.near(some, 0.9, same="kind", later=True).collect()}
     s = u @ u.T
     assert near == {(1400 + a, 1400 + b) for a, b in zip(*np.nonzero(s >= 0.9)) if a < b and a % 5 == b % 5}
+
+
+def test_few_rows_are_ordered_to_draw_a_sample(spark, tmp_path, data, monkeypatch):
+    from strataloom.operators import vector_index as V
+
+    ids, x = data
+    df = frame(spark, ids, x)
+    order, trained, ordered = type(df).orderBy, [], []
+    monkeypatch.setattr(V, "SAMPLE", 50)
+    monkeypatch.setattr(V, "train", lambda x, *a, train=V.train: (trained.append(x), train(x, *a))[1])
+    monkeypatch.setattr(type(df), "orderBy", lambda self, *c: (ordered.append(self.count()), order(self, *c))[1])
+    VectorIndex.build(df, str(tmp_path / "drawn"))
+    monkeypatch.undo()
+    least = [r["vec_id"] for r in df.orderBy(F.xxhash64("vec_id")).limit(50).collect()]
+    assert np.allclose(trained[0], V._unit(x[least])) and ordered[-1] < 200  # of 900
