@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.sources.tables import written
+from strataloom.sources.tables import Cuts, written
 
 
 def version_key(version: Column) -> Column:
@@ -64,19 +65,31 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     weighs as much as its heaviest edge), ties go to the smaller label, so results do not depend on the order of rows. It
     stops when no label changes, or after ``rounds``; ``settled`` tells which nodes kept theirs in the last one.
     """
-    e = edges.where("src is not null and dst is not null and src != dst").select("src", "dst", "weight")
-    both = written(e.union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "lp-edges")
-    own = written(both.groupBy(F.col("src").alias("node")).agg(F.max("weight").alias("weight")), "lp-own")
-    labels = written(own.select("node", F.col("node").alias("community"), F.lit(False).alias("settled")), "lp-labels")
+    spark = edges.sparkSession
+    cuts, parts = Cuts(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = cuts.written(edges.where("src is not null and dst is not null and src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "lp-given")
+    # Numbers in the order of the nodes stand for them: ties are the same, rows are small.
+    nodes = e.select("src").union(e.select("dst")).distinct().orderBy("src").select(F.col("src").alias("node"), F.monotonically_increasing_id().alias("i"))
+    nodes = cuts.written(nodes, "lp-nodes")
+    for end in ("src", "dst"):
+        e = e.join(nodes.select(F.col("node").alias(end), F.col("i").alias(f"{end}_i")), end)
+    e = cuts.written(e.select(F.col("src_i").alias("src"), F.col("dst_i").alias("dst"), "weight"), "lp-numbered")
+    both = e.union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    both = cuts.written(both.unionByName(both.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight")), "lp-edges")
+    voters = both.repartition(parts, "dst").persist(StorageLevel.DISK_ONLY)  # every round reads them where they are, by dst
+    labels = nodes.select("i", F.col("i").alias("community"), F.lit(False).alias("settled"))
     for _ in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight")
-        votes = votes.unionByName(own.join(labels, "node").select("node", "community", "weight")).groupBy("node", "community").agg(F.sum("weight").alias("weight"))
-        best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("weight"), F.col("community"))).alias("new"))
-        fresh = written(labels.join(best, "node").select("node", "community", "new"), "lp-labels")
-        labels = fresh.select("node", F.col("new").alias("community"), (F.col("new") == F.col("community")).alias("settled"))
-        if fresh.where("new != community").isEmpty():
+        votes = voters.join(labels.select(F.col("i").alias("dst"), "community").hint("shuffle_hash"), "dst").select(F.col("src").alias("i"), "community", "weight")
+        votes = votes.repartition(parts, "i").groupBy("i", "community").agg(F.sum("weight").alias("weight"))  # both sums where a node's votes are
+        best = votes.groupBy("i").agg(F.min_by("community", F.struct(-F.col("weight"), F.col("community"))).alias("new"))
+        labels = cuts.written(best.join(labels.select("i", "community"), "i").select("i", F.col("new").alias("community"), (F.col("new") == F.col("community")).alias("settled")), "lp-labels")
+        if labels.where("not settled").isEmpty():
             break
-    return labels
+    names = nodes.select(F.col("i").alias("community"), F.col("node").alias("name"))
+    out = written(labels.join(nodes, "i").join(names, "community").select("node", F.col("name").alias("community"), "settled"), "lp-found")
+    voters.unpersist()
+    cuts.clear()
+    return out
 
 
 def cluster_agreement(both: DataFrame, first: str, second: str) -> DataFrame:

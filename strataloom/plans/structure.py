@@ -52,8 +52,8 @@ def orphan_nodes(spark, sf):
 
 
 def communities(spark, sf):
-    e = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(F.sum("l_quantity").alias("weight"))
-    return T.communities(e)
+    e = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("weight"))
+    return T.communities(e.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), "weight"))
 
 
 def cluster_agreement(spark, sf):

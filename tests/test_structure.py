@@ -95,3 +95,13 @@ def test_latency_and_controls(spark):
     assert got == {"t": (40, 1, 38.0), "u": (2, 1, 2.0)}
     assert rows(R.control_ratio(calls, "tool", "ms", ~F.col("bad")))[1] == ("u", 2, 0, 0.0)
     assert rows(R.merged(spark.createDataFrame([], "k int, id int, content string, tags array<string>, confidence double"), "k")) == []
+
+
+def test_edges_are_dealt_once_for_all_rounds(spark, tmp_path, monkeypatch):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", float(1 + i % 3)) for i in range(12)], "src string, dst string, weight double")
+    dealt, deal = [], type(e).repartition
+    monkeypatch.setattr(type(e), "repartition", lambda self, *by: (dealt.append(by[-1]), deal(self, *by))[1])
+    monkeypatch.setattr("strataloom.sources.tables.scratch", lambda spark: str(tmp_path))
+    found = T.communities(e)
+    assert found.count() == 13 and dealt.count("dst") == 1 and dealt.count("i") > 1
+    assert [p.name[:8] for p in tmp_path.iterdir()] == ["lp-found"]  # rounds leave nothing behind
