@@ -178,6 +178,7 @@ def graph_components(items: DataFrame, edges: DataFrame, near: DataFrame) -> Dat
 
 
 def clusters_by_graph(items: DataFrame, edges: DataFrame, near: DataFrame, most_distance: float = 0.3) -> DataFrame:
-    """(id, cluster): ``clusters_by_type`` within the components of ``graph_components``."""
-    of = graph_components(items, edges, near)
-    return clusters_by_type(items.join(of, "id").withColumn("kind", F.concat_ws("/", "component", "kind")), most_distance)
+    """(id, component, cluster): ``clusters_by_type`` within the components of ``graph_components``."""
+    of = written(graph_components(items, edges, near), "graph-components")
+    found = clusters_by_type(items.join(of, "id").withColumn("kind", F.concat_ws("/", "component", "kind")), most_distance)
+    return of.join(found, "id").select("id", "component", "cluster")

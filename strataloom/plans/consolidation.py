@@ -53,15 +53,16 @@ def consolidated_links(spark, sf):
 
 
 def graph_clusters(spark, sf):
-    """Parts as items on the graph of parts and suppliers: of one brand as document, one type as tag, or near by their vectors."""
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit("/"), "p_size").alias("doc"), F.concat("p_type", F.lit("/"), "p_size").alias("first_tag"), F.lit("part").alias("kind"))
+    """Parts as items on the graph of parts, orders and suppliers: components of one brand as document, one type as tag, or near by their vectors; and the clusters within each."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("doc"), F.col("p_type").alias("first_tag"), F.lit("part").alias("kind"))
     vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     items = part.join(vec, "id", "left")
-    edges = table(spark, sf, "lineitem").select(F.concat(F.lit("i"), "l_partkey").alias("src"), F.concat(F.lit("o"), "l_orderkey").alias("dst"))
+    lines, own = table(spark, sf, "lineitem"), F.concat(F.lit("i"), "l_partkey").alias("src")
+    edges = lines.select(own, F.concat(F.lit("o"), "l_orderkey").alias("dst")).unionByName(lines.select(own, F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct())
     index = VectorIndex.build(items.select("id", "embedding"), f"{scratch(spark)}/part-vectors-{uuid.uuid4().hex}", "id")
     near = index.near(items.select("id", "embedding"), 0.9, vec_id="id").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
     remove(spark, index.path)
-    return C.graph_components(items, edges, near)
+    return C.clusters_by_graph(items, edges, near)
 
 
 QUERIES = [consolidated_members, consolidated_items, consolidated_links, graph_clusters]
