@@ -32,7 +32,7 @@ def averages(x, most):
     return out
 
 
-@pytest.mark.parametrize("alone", [2048, 6])
+@pytest.mark.parametrize("alone", [4096, 6])
 def test_average_over_all_pairs(spark, monkeypatch, alone):
     monkeypatch.setattr(V, "ALONE", alone)
     monkeypatch.setattr(V, "ROWS", 20)
@@ -43,7 +43,7 @@ def test_average_over_all_pairs(spark, monkeypatch, alone):
     assert max(m[3] for m in want) > 8  # more than five nearest can tell
 
 
-@pytest.mark.parametrize("alone", [2048, 6])
+@pytest.mark.parametrize("alone", [4096, 6])
 def test_copies_merge_in_few_rounds(spark, monkeypatch, alone):
     monkeypatch.setattr(V, "ALONE", alone)
     got = V.average_merges(packed_rows(frame(spark, vectors(1, 5, copies=39))), 0.5).collect()
